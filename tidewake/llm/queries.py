@@ -12,7 +12,10 @@ from tidewake.llm.chat import CONTROL, format_examples, read_back
 from tidewake.llm.embedding_dedup import embedding_links
 from tidewake.llm.exact_dedup import mark_exact_duplicates
 from tidewake.llm.langid import fit_languages, language_of
+from tidewake.llm.line_dedup import drop_repeated_runs
+from tidewake.llm.mixing import draws
 from tidewake.llm.packing import pack
+from tidewake.llm.pii import pseudonymise
 from tidewake.llm.quality import fit_quality, quality_score
 from tidewake.llm.sampling import held_out
 from tidewake.llm.simhash import fingerprint_hex, near_duplicate_components
@@ -20,6 +23,8 @@ from tidewake.llm.simhash import fingerprint_hex, near_duplicate_components
 #: The file that op8 and the pipeline take their tokenizer from.
 TOKENIZER = "byte_bpe_50k.json"
 KEEP_QUALITY = 0.3
+#: For tests and trials only; set spark.tidewake.pii.key for real data.
+PII_KEY = "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +54,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= KEEP_QUALITY).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = draws(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return drawn.select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        F.aggregate("mix_draws", F.lit(0).cast("long"), lambda sum, d: sum + d["words"]).alias("taken"),
+        F.transform("mix_draws", lambda d: d["shard"]).alias("shards"),
+    )
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql(
@@ -58,6 +75,23 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_examples(rows.unionByName(more)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("ld_lines").cast("long").alias("n_lines"),
+        F.size("ld_deleted").cast("long").alias("n_deleted"),
+        F.array_join(F.transform("ld_deleted", lambda i: i.cast("string")), ",").alias("deleted"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
+    )
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.tidewake.pii.key", PII_KEY)
+    out = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return out.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"), F.col("pii_found").alias("replaced"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learn = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
@@ -85,7 +119,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
+        "op3_mixing": op3_mixing,
         "op4_chat": op4_chat,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_pii": op6_pii,
         "op7_language": op7_language,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
@@ -125,5 +162,24 @@ FROM s GROUP BY conv_id
 """
 
 
+_OP5 = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+     p AS (SELECT doc_id, a, unnest(range(len(a) - 1)) AS pos FROM l WHERE len(a) >= 2),
+     w AS (SELECT doc_id, pos, a[pos + 1] || chr(10) || a[pos + 2] AS t FROM p
+           WHERE trim(a[pos + 1]) <> '' OR trim(a[pos + 2]) <> ''),
+     f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM w
+           WINDOW o AS (PARTITION BY t ORDER BY doc_id, pos)),
+     g AS (SELECT DISTINCT doc_id, pos + k AS i FROM f, (VALUES (0), (1)) AS v(k)
+           WHERE doc_id <> fd OR pos >= fp + 2),
+     d AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id),
+     u AS (SELECT documents.doc_id, coalesce(string_split(text, chr(10)), []) AS a, coalesce(gone, []) AS gone
+           FROM documents LEFT JOIN d USING (doc_id))
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_deleted,
+       array_to_string(gone, ',') AS deleted,
+       sha256(array_to_string([a[i + 1] for i in range(len(a)) if NOT list_contains(gone, i)], chr(10))) AS text_sha256
+FROM u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_chat": _OP4}
+    return {"op1_exact_dedup": _OP1, "op4_chat": _OP4, "op5_line_dedup": _OP5}

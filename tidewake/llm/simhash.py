@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm._shared import small, written
-from tidewake.llm.components import smallest_of_components
+from tidewake.llm.components import connected_components, smallest_of_components
 
 #: What a probe's row and a compared pair cost, in microseconds; only their ratio counts.
 PROBE_COST, PAIR_COST = 2.0, 0.02
@@ -391,3 +391,124 @@ def leader_similarity(text: Column, leader: Column, words: int = 5) -> Column:
             yield pd.Series(got, dtype="float64")
 
     return of(text, leader)
+
+
+#: Fingerprints of near copies at five-word similarity 0.8 have about 9 of these 128 bits different.
+NEAR_SEEDS, NEAR_BITS = (42, 43), 14
+#: Documents on either side of a block of exact comparisons.
+PAIR_BLOCK = 64
+
+
+def near_duplicate_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    words: int = 5,
+    similarity: float = 0.8,
+    seeds: tuple[int, ...] = NEAR_SEEDS,
+    distance: int = NEAR_BITS,
+) -> DataFrame:
+    """Edges ``(a, b)`` of ids that connect documents whose shingle sets have at least the Jaccard ``similarity``.
+
+    Fingerprints of the different words of a text, 128 bits of them, propose: a
+    word that is edited changes five shingles but one word, so that such copies
+    stay within ``distance`` bits. Shingles decide, by exact similarity: every
+    document of a component is first compared with its pivot, whose fingerprint
+    is nearest to the majority of the component's. Copies of one text are
+    nearest to it, so few are left. Those are compared in blocks with all
+    documents of their component that aren't connected with them yet. Only a
+    spanning forest leaves a block.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    comps = written(
+        near_duplicate_components(docs, id_col, text_col, shingle_words=1, distinct=True, seeds=seeds, distance=distance)
+    )
+    moved = comps.where("doc_id <> component_id").select(F.col("component_id").alias("c")).distinct()
+    members = comps.withColumnRenamed("component_id", "c").join(small(written(moved)), "c").dropDuplicates(["doc_id"])
+    members = written(members.select("doc_id", "c", *[F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(len(seeds))]))
+
+    bits = [(w, b) for w in range(len(seeds)) for b in range(64)]
+    ones = members.groupBy("c").agg(
+        F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(f"f{w}", b).bitwiseAND(F.lit(1))).alias(f"b{w}_{b}") for w, b in bits]
+    )
+    most = [
+        _sum([F.when(F.col(f"b{w}_{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)])
+        for w in range(len(seeds))
+    ]
+    centre = written(ones.select("c", *[m.alias(f"m{w}") for w, m in enumerate(most)]))
+    off = _sum([F.bit_count(F.col(f"f{w}").bitwiseXOR(F.col(f"m{w}"))) for w in range(len(seeds))])
+    pivots = written(
+        members.join(small(centre), "c").groupBy("c").agg(F.min(F.struct(off.alias("off"), "doc_id")).alias("p")).select("c", F.col("p.doc_id").alias("pivot"))
+    )
+    texts = written(text.join(small(members.select("doc_id", "c")), "doc_id").dropDuplicates(["doc_id"]).join(small(pivots), "c"))
+    lead = written(texts.where("doc_id = pivot").select("pivot", F.col("text").alias("lead")))
+    judged = written(
+        texts.where("doc_id <> pivot")
+        .join(lead, "pivot")
+        .select("doc_id", "c", "pivot", leader_similarity(F.col("text"), F.col("lead"), words).alias("near"))
+    )
+    direct = judged.where(F.col("near") >= similarity).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    left = written(judged.where(F.col("near") < similarity).select("doc_id", "c"))
+
+    sizes = left.groupBy("c").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("ga"))
+    sizes = sizes.join(members.groupBy("c").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("gb")), "c")
+    sizes = small(written(sizes))
+    place = lambda salt, groups: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(groups)).cast("int")
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.col(groups) - 1))
+    known = texts.select("doc_id", "c", "text", "pivot").join(small(direct.select(F.col("a").alias("doc_id"), F.lit(True).alias("met"))), "doc_id", "left")
+    group = F.when(F.col("met") | (F.col("doc_id") == F.col("pivot")), F.col("pivot")).otherwise(F.col("doc_id"))
+    known = known.select("doc_id", "c", "text", group.alias("of")).join(sizes, "c")
+    asking = known.where("of = doc_id").join(small(left.select("doc_id")), "doc_id", "left_semi").select(
+        "doc_id", "c", "text", "of", F.lit(True).alias("asks"), place("a", "ga").alias("ka"), every("gb").alias("kb")
+    )
+    asked = known.select("doc_id", "c", "text", "of", F.lit(False).alias("asks"), every("ga").alias("ka"), place("b", "gb").alias("kb"))
+    blocks = asking.unionByName(asked).groupBy("c", "ka", "kb")
+    rest = blocks.applyInPandas(lambda rows: _block_links(rows, words, similarity), "a long, b long")
+    return direct.unionByName(rest)
+
+
+def _sum(columns: list[Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
+
+
+def _block_links(rows: pd.DataFrame, words: int, similarity: float) -> pd.DataFrame:
+    """Edges from the asking documents of a block to others of it that connect all similar ones; ``of`` groups are connected already."""
+    sets = [set(word_shingles(t or "", words)) for t in rows["text"]]
+    ids, of = rows["doc_id"].tolist(), rows["of"].tolist()
+    parent = {g: g for g in of}
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    asks = np.flatnonzero(rows["asks"].to_numpy())
+    others = np.flatnonzero(~rows["asks"].to_numpy())
+    out = []
+    for i in asks:
+        for j in others:
+            a, b = len(sets[i]), len(sets[j])
+            if min(a, b) < similarity * max(a, b) or root(of[i]) == root(of[j]):
+                continue
+            both = len(sets[i] & sets[j])
+            if (both >= similarity * (a + b - both)) if a or b else True:
+                out.append((ids[i], ids[j]))
+                parent[root(of[i])] = root(of[j])
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document, of the smallest id, of each group that ``near_duplicate_links`` connects.
+
+    Rows with a null id stay. Rows that repeat an id count as one document, of
+    either text, and stay or go together. Texts without words are equal. An
+    empty table gives an empty table. Options: see ``near_duplicate_links``.
+    """
+    edges = written(near_duplicate_links(docs, id_col, text_col, **options))
+    gone = written(connected_components(edges).where("node <> component").select(F.col("node").alias("_tw9_gone")))
+    return docs.join(small(gone), F.col(id_col).cast("long") == F.col("_tw9_gone"), "left_anti")
