@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewake.llm._shared import ascii_lower, small, written
 
-_OWN = "__tw1_"
-
 
 def mark_exact_duplicates(
     docs: DataFrame,
@@ -37,41 +35,38 @@ def mark_exact_duplicates(
     that has no equal is never shuffled. What returns to the rows is one small
     row for each repeated text.
     """
-    norm, h = F.col(f"{_OWN}norm"), F.col(f"{_OWN}h")
+    kept_columns = [F.col(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(
-        *[c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")],
-        F.col(id_col).alias(f"{_OWN}id"),
-        normalise(F.coalesce(F.col(text_col), F.lit(""))).alias(f"{_OWN}norm"),
-    ).withColumn(f"{_OWN}h", digest(norm))
-    own = rows.select(f"{_OWN}id", norm, h)
+        F.struct(*kept_columns).alias("row"), F.col(id_col).alias("id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")
+    ).withColumn("h", digest(F.col("norm")))
 
-    twice = written(own.groupBy(h).agg(F.count("*").alias("n")).where("n > 1").select(h))
-    texts = own.join(small(twice), f"{_OWN}h", "left_semi").groupBy(h, norm).agg(
-        F.max(f"{_OWN}id").alias("keep"), F.count("*").alias("n")
+    twice = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    texts = rows.select("id", "norm", "h").join(small(twice), "h", "left_semi").groupBy("h", "norm").agg(
+        F.max("id").alias("keep"), F.count("*").alias("n")
     )
     by_hash = written(
-        texts.groupBy(h).agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.max("n").alias("n"))
+        texts.groupBy("h").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.max("n").alias("n"))
     )
     # Usually all; a hash of several texts is a collision and is joined by the text itself.
-    plain = written(by_hash.where("texts = 1 AND n > 1").select(h, "keep", "n"))
-    collided = by_hash.where("texts > 1").select(h)
+    plain = written(by_hash.where("texts = 1 AND n > 1").select("h", "keep", "n"))
+    collided = by_hash.where("texts > 1").select("h")
     if collided.isEmpty():
-        marked = rows.join(small(plain), f"{_OWN}h", "left")
+        marked = rows.join(small(plain), "h", "left")
     else:
         collided = small(written(collided))
-        apart = written(texts.join(collided, f"{_OWN}h", "left_semi"))
-        marked = (
-            rows.join(collided, f"{_OWN}h", "left_anti").join(small(plain), f"{_OWN}h", "left")
-        ).unionByName(rows.join(collided, f"{_OWN}h", "left_semi").join(apart, [f"{_OWN}h", f"{_OWN}norm"], "left"))
-    keep = F.when(F.col("n").isNull(), F.col(f"{_OWN}id")).otherwise(F.col("keep"))
-    names = [c for c in rows.columns if not c.startswith(_OWN)]
-    return marked.select(
-        *names,
+        apart = written(texts.join(collided, "h", "left_semi"))
+        marked = rows.join(collided, "h", "left_anti").join(small(plain), "h", "left").unionByName(
+            rows.join(collided, "h", "left_semi").join(apart, ["h", "norm"], "left")
+        )
+    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
+    out = marked.select(
+        "row",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        keep.eqNullSafe(F.col(f"{_OWN}id")).alias("kept"),
-        F.sha2(F.encode(norm, "UTF-8"), 256).alias("text_sha256"),
+        keep.eqNullSafe(F.col("id")).alias("kept"),
+        F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
     )
+    return out.select("row.*", *out.columns[1:])
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,13 +74,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat an id and a text, any one stays.
     """
-    own = docs.withColumns({f"{_OWN}{k}": F.col(c) for k, c in (("i", id_col), ("t", text_col))})
-    marked = mark_exact_duplicates(
-        own.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), f"{_OWN}i", f"{_OWN}t")
-        .withColumnsRenamed({f"{_OWN}i": "of", f"{_OWN}t": "with"}),
-        "of",
-        "with",
-    ).where("kept")
+    own = docs.select(F.struct(*docs.columns).alias("all"), F.col(id_col).alias("of"), F.col(text_col).alias("with"))
+    marked = mark_exact_duplicates(own, "of", "with").where("kept")
     alone = marked.where("group_size = 1")
     one = marked.where("group_size > 1").dropDuplicates(["text_sha256"])
-    return alone.unionByName(one).select("row.*")
+    return alone.unionByName(one).select("all.*")

@@ -198,13 +198,14 @@ def draws(
             F.when(u["partly"], F.coalesce("words", F.lit(0))).otherwise(F.col("size")).alias("words"),
         ),
     )
-    return rows.select(
-        "row.*",
+    out = rows.select(
+        "row",
         F.col("size").alias("mix_size"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
         F.filter(made, lambda d: d["words"] > 0).alias("mix_draws"),
     )
+    return out.select("row.*", *out.columns[1:])  # apart, as the row may have columns of the names used above
 
 
 def _sources(sizes: DataFrame) -> list[Source]:
