@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import tidewake.llm.mixing as mx
@@ -60,9 +61,13 @@ def test_draws_meet_targets_and_repeat(spark, monkeypatch):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
-def test_mixture_holds_the_drawn_words(spark):
+@pytest.mark.parametrize("task_words", [mx.TASK_WORDS, 300])
+def test_mixture_holds_the_drawn_words(spark, monkeypatch, task_words):
+    monkeypatch.setattr(mx, "TASK_WORDS", task_words)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    out = mix(docs, shards=5).collect()
+    mixed = mix(docs, shards=5)
+    assert (mixed.rdd.getNumPartitions() == 5) == (task_words == mx.TASK_WORDS == 10_000_000)
+    out = mixed.collect()
     assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.mix_words for r in out)
     whole = {(i, t) for i, t, _ in ROWS}
     cut = [r for r in out if (r.doc_id, r.text) not in whole]

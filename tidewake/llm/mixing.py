@@ -26,6 +26,8 @@ WEIGHTS, MOST_TIMES = (5, 2, 1), 3
 PER_BLOCK, MOST_BLOCKS = 64, 4096
 #: Part of a source's target up to which whole documents may miss it; a document is cut otherwise.
 TOLERANCE = 0.002
+#: Words of a shard that one task shuffles on average; larger shards are dealt to several tasks, in order.
+TASK_WORDS = 10_000_000
 
 
 def size_in_words(text: Column) -> Column:
@@ -133,6 +135,13 @@ def draws(
     rows get their draws by joins with small tables, hinted for broadcast only
     after being counted.
     """
+    return _drawn(docs, id_col, text_col, source_col, shards, seed, tolerance)[0]
+
+
+def _drawn(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, tolerance: float
+) -> tuple[DataFrame, int]:
+    """What ``draws`` returns, and the number of words that the mix takes."""
     spark = docs.sparkSession
     base = docs.select(
         F.struct(*[F.col(c) for c in docs.columns if not c.startswith("mix_")]).alias("row"),
@@ -205,7 +214,8 @@ def draws(
         F.col("target").alias("mix_target"),
         F.filter(made, lambda d: d["words"] > 0).alias("mix_draws"),
     )
-    return out.select("row.*", *out.columns[1:])  # apart, as the row may have columns of the names used above
+    total = sum(s.whole * s.size + s.rest for s in sources)
+    return out.select("row.*", *out.columns[1:]), total  # apart, as the row may have columns of the names used above
 
 
 def _sources(sizes: DataFrame) -> list[Source]:
@@ -227,22 +237,35 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(named, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def mix(docs: DataFrame, text_col: str = "text", *, shards: int = 64, seed: int = 11, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    *,
+    shards: int = 64,
+    seed: int = 11,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
     """The mixture: a row of ``docs`` for each draw, with ``mix_epoch``, ``mix_shard`` and ``mix_words``.
 
-    Rows are dealt to tasks by shard and are in shuffled order inside it. The
-    text of a cut document is its first ``mix_words`` words with what stands
+    Rows are dealt to tasks by shard and are in shuffled order inside it. A
+    shard of more than TASK_WORDS words is dealt to several tasks by ranges of
+    that order, so that a task's size doesn't grow with the corpus. The text of a cut document is its first ``mix_words`` words with what stands
     between them. See ``draws`` for the rest.
     """
-    drawn = draws(docs, text_col=text_col, shards=shards, seed=seed, **options)
+    drawn, total = _drawn(docs, id_col, text_col, source_col, shards, seed, tolerance)
+    parts = max(1, -(-total // (shards * TASK_WORDS)))
     rows = drawn.withColumn("mix_draw", F.explode("mix_draws"))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("mix_draw.words").cast("int")), "")
     cut = F.when(F.col("mix_draw.words") < F.col("mix_size"), first).otherwise(F.col(text_col))
     place = F.xxhash64(F.struct(*[F.col(c) for c in docs.columns if c != text_col]), "mix_draw.epoch", F.lit(seed))
     return (
         rows.withColumn(text_col, cut)
-        .withColumn("mix_place", place)
-        .repartition(shards, "mix_draw.shard")
+        .withColumn("mix_place", F.shiftrightunsigned(place, 1))
+        .withColumn("mix_part", F.shiftrightunsigned("mix_place", 31) * parts / F.lit(1 << 32))
+        .withColumn("mix_part", F.floor("mix_part").cast("int"))
+        .repartition(shards * parts, "mix_draw.shard", "mix_part")
         .sortWithinPartitions("mix_draw.shard", "mix_place")
         .select(
             *docs.columns,
