@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.plans import fact_queries, graph_queries, search_queries
+from tidewake.plans import fact_queries, graph_queries, ops_queries, search_queries
 
-_MODULES = (graph_queries, fact_queries, search_queries)
+_MODULES = (graph_queries, fact_queries, search_queries, ops_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
