@@ -2,10 +2,11 @@ import pytest
 
 from tidewake.llm.line_dedup import drop_repeated_runs
 
+LONG = " ".join(f"w{k}" for k in range(50))
 BASE = "a\nb\nc\nd"
 ROWS = [
     (1, BASE), (2, "x\nb\nc\ny"), (3, BASE), (4, "b"), (5, None), (6, ""), (7, "z\nz\nz\nz\nz"), (8, "\n\n\n"), (9, "\n\n\n"), (10, "d\nx\nb\nc"),
-    (None, BASE), (3, BASE), (11, "long " * 20_000 + "\nb\nc"), (12, "c\nd\nnew"),
+    (13, LONG + "\nq"), (14, "r\n" + LONG), (15, LONG), (None, BASE), (3, BASE), (11, "long " * 20_000 + "\nb\nc"), (12, "c\nd\nnew"),
 ]
 
 
@@ -13,13 +14,14 @@ def brute(rows, n):
     seen, gone = {}, {}
     for i, text in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
         lines = text.split("\n")
-        for p in range(len(lines) - n + 1):
-            run = tuple(lines[p : p + n])
+        runs = [(p, n) for p in range(len(lines) - n + 1)] + [(p, 1) for p, x in enumerate(lines) if len(x.split()) >= 50]
+        for p, size in runs:
+            run = tuple(lines[p : p + size])
             if all(not x.strip(" ") for x in run):
                 continue
             first = seen.setdefault(run, (i, p))
-            if first[0] != i or p >= first[1] + n:
-                gone.setdefault(i, set()).update(range(p, p + n))
+            if first[0] != i or p >= first[1] + size:
+                gone.setdefault(i, set()).update(range(p, p + size))
     return gone
 
 

@@ -9,10 +9,13 @@ from tidewake.llm._shared import small, written
 
 #: Lines of the shortest run that is deleted, which is also the winnowing window.
 RUN_LINES = 2
+#: Words from which on a single line is a passage and counts as a run.
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run_lines: int) -> DataFrame:
-    """Each run of ``run_lines`` lines: document, position, its fingerprint and that one's position, and a 128-bit hash.
+def windows(docs: DataFrame, id_col: str, text_col: str, run_lines: int, long_words: int) -> DataFrame:
+    """Each run of ``run_lines`` lines and each long line: document, position, lines, fingerprint and its position, 128-bit hash.
 
     The fingerprint is the window's least line hash (the rightmost of equal
     ones). Equal runs have equal fingerprints at equal places: that is
@@ -26,29 +29,33 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run_lines: int) -> Data
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x)).alias("h2"),
         F.transform("lines", lambda x: F.trim(x) == "").alias("blank"),
-    ).where(F.size("h") >= run_lines)
+        F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.regexp_count(F.get("lines", i), F.lit(WORD)) >= long_words).alias("long"),
+    )
 
-    def window(i):
-        h = F.slice("h", i + 1, run_lines)
+    def window(i, n):
+        h = F.slice("h", i + 1, F.lit(n))
         return F.struct(
             i.alias("pos"),
+            F.lit(n).alias("n"),
             F.array_min(h).alias("fp"),
-            (i + run_lines - F.array_position(F.reverse(h), F.array_min(h))).alias("fp_pos"),
+            (i + n - F.array_position(F.reverse(h), F.array_min(h))).alias("fp_pos"),
             F.xxhash64(h).alias("w1"),
-            F.xxhash64(F.slice("h2", i + 1, run_lines)).alias("w2"),
-            F.forall(F.slice("blank", i + 1, run_lines), lambda b: b).alias("blank"),
+            F.xxhash64(F.slice("h2", i + 1, F.lit(n))).alias("w2"),
+            F.forall(F.slice("blank", i + 1, F.lit(n)), lambda b: b).alias("blank"),
         )
 
-    each = F.transform(F.sequence(F.lit(0), F.size("h") - run_lines), window)
+    places = F.when(F.size("h") >= run_lines, F.sequence(F.lit(0), F.size("h") - run_lines)).otherwise(F.array().cast("array<int>"))
+    each = F.concat(F.transform(places, lambda i: window(i, run_lines)), F.transform("long", lambda i: window(i, 1)))
     return hashed.select("doc", F.explode(each).alias("w")).select("doc", "w.*").where("NOT blank").drop("blank")
 
 
 def drop_repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_lines: int = RUN_LINES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS
 ) -> DataFrame:
     """``docs`` without lines of repeated runs; ``ld_lines`` and ``ld_deleted`` (line numbers from 0) are added.
 
-    A run of at least ``run_lines`` lines goes where the same lines occurred
+    A run of at least ``run_lines`` lines, or a line of at least ``long_words``
+    words, goes where the same lines occurred
     before, in order of ids and lines. The first occurrence stays, and an
     occurrence in the same document that overlaps the first one is part of it.
     Lines end at line feeds and are equal if their bytes are.
@@ -64,7 +71,7 @@ def drop_repeated_runs(
     occurrences are made, however frequent a run is. Windows that follow each
     other extend a match in both directions; their union is what goes.
     """
-    found = written(windows(docs, id_col, text_col, run_lines))
+    found = written(windows(docs, id_col, text_col, run_lines, long_words))
     place = F.struct("doc", "fp_pos")
     repeated = written(
         found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp")
@@ -72,17 +79,17 @@ def drop_repeated_runs(
     near = found.join(small(repeated), "fp", "left_semi")
     at = F.struct("doc", "pos")
     first = written(
-        near.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("w1", "w2", "a")
+        near.groupBy("n", "w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("n", "w1", "w2", "a")
     )
-    later = near.join(small(first), ["w1", "w2"]).where(
-        (F.col("doc") != F.col("a.doc")) | (F.col("pos") >= F.col("a.pos") + run_lines)
+    later = near.join(small(first), ["n", "w1", "w2"]).where(
+        (F.col("doc") != F.col("a.doc")) | (F.col("pos") >= F.col("a.pos") + F.col("n"))
     )
-    starts = written(later.groupBy(F.col("doc").alias("ld_doc")).agg(F.collect_set("pos").alias("ld_starts")))
+    starts = written(later.groupBy(F.col("doc").alias("ld_doc")).agg(F.collect_set(F.struct("pos", "n")).alias("ld_starts")))
 
     own = [c for c in docs.columns if not c.startswith("ld_")]
     rows = docs.select(*own).join(small(starts, 100_000), F.col(id_col) == F.col("ld_doc"), "left")
     rows = rows.withColumn("ld_all", F.split(text_col, "\n", -1))
-    covered = lambda i: F.exists("ld_starts", lambda s: (i >= s) & (i < s + run_lines))
+    covered = lambda i: F.exists("ld_starts", lambda s: (i >= s["pos"]) & (i < s["pos"] + s["n"]))
     kept = F.array_join(F.filter("ld_all", lambda x, i: ~covered(i)), "\n")
     gone = F.filter(F.sequence(F.lit(0), F.size("ld_all") - 1), covered)
     hit = F.col("ld_starts").isNotNull()

@@ -165,12 +165,14 @@ FROM s GROUP BY conv_id
 _OP5 = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
      p AS (SELECT doc_id, a, unnest(range(len(a) - 1)) AS pos FROM l WHERE len(a) >= 2),
-     w AS (SELECT doc_id, pos, a[pos + 1] || chr(10) || a[pos + 2] AS t FROM p
-           WHERE trim(a[pos + 1]) <> '' OR trim(a[pos + 2]) <> ''),
-     f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM w
-           WINDOW o AS (PARTITION BY t ORDER BY doc_id, pos)),
+     e AS (SELECT doc_id, pos, a[pos + 1] AS t FROM (SELECT doc_id, a, unnest(range(len(a))) AS pos FROM l)),
+     w AS (SELECT doc_id, pos, 2 AS n, a[pos + 1] || chr(10) || a[pos + 2] AS t FROM p
+           WHERE trim(a[pos + 1]) <> '' OR trim(a[pos + 2]) <> ''
+           UNION ALL SELECT doc_id, pos, 1, t FROM e WHERE len(regexp_extract_all(t, '[^ \\t-\\r]+')) >= 50),
+     f AS (SELECT doc_id, pos, n, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM w
+           WINDOW o AS (PARTITION BY n, t ORDER BY doc_id, pos)),
      g AS (SELECT DISTINCT doc_id, pos + k AS i FROM f, (VALUES (0), (1)) AS v(k)
-           WHERE doc_id <> fd OR pos >= fp + 2),
+           WHERE k < n AND (doc_id <> fd OR pos >= fp + n)),
      d AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id),
      u AS (SELECT documents.doc_id, coalesce(string_split(text, chr(10)), []) AS a, coalesce(gone, []) AS gone
            FROM documents LEFT JOIN d USING (doc_id))
