@@ -44,13 +44,15 @@ def impact_rows(
 
     Breadth first against the relations' direction. A node is expanded once, at
     its smallest depth; a relation into a node already seen, the seed included,
-    is still reported. One join per level, each level stored.
+    is still reported. A level reads the relations once and shuffles only those
+    into its frontier; each level is stored.
     """
     depth, fanout = bounded(max_depth, DEPTH), bounded(max_fanout, FANOUT)
-    edges = stored(incoming(entities, relations, fanout))
     frontier = stored(seeds.select("seed", F.col("seed").alias("node")).distinct())
     visited, out = frontier, None
     for level in range(1, depth + 1):
+        nodes = if_small(stored(frontier.select(F.col("node").alias("target_entity_id")).distinct()))
+        edges = incoming(entities, relations.join(nodes, "target_entity_id", "left_semi"), fanout)
         rows = stored(if_small(frontier).join(edges, "node").withColumn("depth", F.lit(level)))
         out = rows if out is None else out.unionByName(rows)
         if level < depth:
