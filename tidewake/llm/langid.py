@@ -84,7 +84,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 4) ->
         for piece in (t, t[start : start + size]):
             h, n = np.unique(buckets(piece), return_counts=True)
             if len(h):
-                rows.append((h, (n / n.sum())[:, None], y[i]))
+                rows.append((h, (n / n.sum()).astype(np.float32)[:, None], y[i]))
     for epoch in range(epochs):
         rate = 0.8 * (1 - epoch / epochs)
         for k in rng.permutation(len(rows)):

@@ -87,8 +87,9 @@ def fit_vectors(texts: list[str]) -> tuple[dict[str, int], dict[str, int], np.nd
     Row 0 is zero. Shapes have rows of their own, whose context is what
     surrounds the words of that shape.
     """
-    tokens = [_TOKEN.findall(t) for t in texts]
-    counts = Counter(t for ts in tokens for t in ts)
+    counts: Counter[str] = Counter()
+    for t in texts:  # tokens are found again below: those of all texts at once would take many times the texts' memory
+        counts.update(_TOKEN.findall(t))
     kept = sorted((w for w, n in counts.items() if n >= LEAST_COUNT), key=lambda w: (-counts[w], w))[:MOST_WORDS]
     rows = {w: k + 1 for k, w in enumerate(kept)}
     kind = {w: shape(w) for w in counts}
@@ -99,7 +100,7 @@ def fit_vectors(texts: list[str]) -> tuple[dict[str, int], dict[str, int], np.nd
     place = {w: rows.get(w, shapes[kind[w]]) for w in counts}
     shape_row = {w: shapes[kind[w]] for w in counts}
     context = np.zeros_like(own)
-    for ts in tokens:
+    for ts in map(_TOKEN.findall, texts):
         if len(ts) < 2:
             continue
         at = np.fromiter((place[t] for t in ts), dtype=np.int64, count=len(ts))
