@@ -118,6 +118,29 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert {r.doc_id for r in out.collect()} == {min(g) for g in groups} | {-1, -2, None}
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "block", "scattered"])
+def test_near_copies_of_every_kind_go_as_by_brute_force(spark, kind):
+    rng = np.random.default_rng(6)
+    words = [f"v{k}" for k in range(5000)]
+    texts, near = [], 0
+    for _ in range(150):
+        w = list(rng.choice(words, int(rng.integers(60, 600))))
+        n, new = len(w), [str(x) for x in rng.integers(10**9, size=600)]
+        k = max(1, int(n * rng.uniform(0.05, 0.19)))
+        at = int(rng.integers(0, n - k))
+        v = {"appended": w + new[:k], "truncated": w[:-k], "block": w[:at] + new[: k // 2] + w[at + k // 2 :]}.get(kind, list(w))
+        if kind == "scattered":
+            for p in rng.choice(n, max(1, k // 9), replace=False):
+                v[p] = new[p]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        near += len(a & b) >= 0.8 * len(a | b)
+        texts.append((" ".join(w), " ".join(v), len(a & b) >= 0.8 * len(a | b)))
+    assert near > 80
+    rows = [(2 * i + c, t[c]) for i, t in enumerate(texts) for c in (0, 1)]
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(150)} | {2 * i + 1 for i, t in enumerate(texts) if not t[2]}
+
+
 def test_blocks_find_what_the_pivot_misses():
     import pandas as pd
 
