@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 import tidewake.llm.embedding_dedup as ed
 from tidewake.llm.embedding_dedup import embedding_links, fit_index
@@ -72,3 +73,16 @@ def test_empty_and_linkless_tables(spark):
     assert embedding_links(df).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in embedding_links(one).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_blocks_that_go_on_in_another_batch_lose_no_link():
+    one = np.array([1.0, 0.0]).tobytes()
+    rows, want = [], 0
+    for cell, mb, vb in [(1, 0, 1), (2, 0, 0), (2, 0, 1), (2, 1, 0), (2, 1, 1), (3, 0, 1)]:
+        rows += [(cell, mb, vb, 0, 100 * len(rows) + k, 1, one, cell, np.array([cell], "<i4").tobytes()) for k in range(2)]
+        rows += [(cell, mb, vb, 1, 100 * len(rows) + k, 1, one, cell, None) for k in range(3)]
+        want += 2 * 3
+    table = pd.DataFrame(rows, columns=["cell", "mb", "vb", "role", "node", "n", "vec", "own", "visited"])
+    for size in range(1, len(rows) + 1):
+        out = pd.concat(ed._compare((table.iloc[i : i + size] for i in range(0, len(rows), size)), 0.9))
+        assert out.loc[out["b"] < 0, "links"].sum() == want, size

@@ -115,9 +115,12 @@ def _compare(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.Data
     members: dict | None = None
     cols = ["cell", "mb", "vb"]
     for b in batches:
-        b = b.reset_index(drop=True)
-        for key, at in b.groupby(cols, sort=False).indices.items():
-            rows = b.iloc[at]
+        if not len(b):
+            continue
+        at = b[cols].to_numpy()
+        bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(b)]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):  # runs of a key, in the order of the rows
+            key, rows = tuple(at[start]), b.iloc[start:end]
             new, asking = rows[rows["role"] == 0], rows[rows["role"] == 1]
             if members is None or members["key"] != key:
                 members = {"key": key, "parts": []}
