@@ -82,3 +82,22 @@ def test_secrets_long_texts_and_empty_tables(spark):
     r = one(spark, f"{long}10.20.30.40 {long}")
     assert len(r.pii_found) == 1 and r.text.startswith(long) and r.text.endswith(long)
     assert pseudonymise(spark.createDataFrame([], "text string"), KEY).count() == 0
+
+
+def test_cards_beside_numbers_timestamps_and_national_phones(spark):
+    card = "4111111111111111"
+    texts = {
+        f"{card} 123": ["card"], "4111 1111 1111 1111 12": ["card"], f"7 {card}": ["card"], f"{card} 5500005555555559 8": ["card"] * 2,
+        f"1234 4111-1111-1111-1111 99 378282246310005": ["card"] * 2, f"{card} 2024-01-02": ["card", "date"], f"{card} 10.20.30.40": ["card", "ip"],
+        "2024-01-02T10:00 and 2024-01-02T10:00:00Z": ["date"] * 2, "call (017) 555-7713.": ["phone"], "017-555-7713 or 017.555.7713": ["phone"] * 2,
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("old", F.col("text"))
+    for r in pseudonymise(docs, KEY).collect():
+        assert [f.kind for f in r.pii_found] == texts[r.old], r.old
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", r.old) or "10.20" in r.old
+        for value in (card, "4111 1111", "4111-1111", "5500005555555559", "378282246310005", "2024-01-02", "10.20.30.40", "555-7713", "555.7713"):
+            assert value not in r.text, r.old
+    same = [pseudonymise(spark.createDataFrame([(t,)], "text string"), KEY).first().pii_found[0].pseudonym for t in (card, f"{card} 123")]
+    assert same[0] == same[1]
+    stay = "4111111111111112 123, 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 4 5, 2024-13-02T10:00, 1.017.555.7713.2"
+    assert one(spark, stay).text == stay

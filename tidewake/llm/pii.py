@@ -23,11 +23,19 @@ _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
 _NATIONAL = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}"
+_LOCAL = r"\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}"
 _CARD = r"\d(?:[ -]?\d){12,18}"
+#: Groupings in which a card may stand beside other numbers.
+_GROUPED = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}"
+#: Numbers of 13 digits or more together; what begins a value of another kind is not part of them.
+_RUN = rf"(?=\d(?:[ -]?\d){{12}})\d+(?:[ -](?!(?:{_IP}|{_DATE}|{_NATIONAL})(?!\w))\d+){{0,400}}"
 _SECRET = r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})"
 _LED = r"""(?<=(?i:token|secret|key|password|passwd)["']{0,1}\s{0,3}[=:]\s{0,3}["']{0,1})"""
 #: The whole pattern; single values never stand inside longer words, numbers or dotted groups.
-FIND = rf"(?:{_LED}{_SECRET}|(?<![\w.+-])(?:{_EMAIL})|(?<![\w.-])(?:{_IP}|{_DATE}|{_NATIONAL})(?![\w-]|\.\d)|(?<![\w]){_PHONE}(?![\w-])|(?<![\w.-])(?:{_CARD}))(?!\w)"
+FIND = (
+    rf"(?<![\w.-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d{{2}})|(?:{_LED}{_SECRET}|(?<![\w.+-])(?:{_EMAIL})|(?<![\w.-])(?:{_IP}|{_DATE}|{_NATIONAL})(?![\w-]|\.\d)"
+    rf"|(?<![\w]){_PHONE}(?![\w-])|(?<![\w.+-])(?:{_LOCAL})(?![\w-]|\.\d)|(?<![\w.-])(?:{_RUN}))(?!\w)"
+)
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -132,7 +140,6 @@ def _day(m: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """Kind of a matched string if it is valid, else null."""
     area, group, serial = (_part(m, "-", k) for k in range(3))
-    luhn = _bind(_digits(m), lambda d: F.pmod(luhn_sum(d, F.char_length(d) % 2 == 0), F.lit(10)) == 0)
     octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     return (
         F.when(m.contains("@"), F.lit("email"))
@@ -144,10 +151,50 @@ def kind_of(m: Column) -> Column:
             F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), F.lit("national")),
         )
         .when(m.startswith("+"), F.when(F.char_length(_digits(m)).between(8, 15), F.lit("phone")))
-        .when(m.rlike(f"^{_CARD}$"), F.when(luhn & (_digits(m).cast("decimal(20,0)") > 0), F.lit("card")))
+        .when(m.rlike(f"^(?:{_LOCAL})$"), F.lit("phone"))
+        .when(m.rlike(f"^{_CARD}$"), F.when(_is_card(m), F.lit("card")))
     )
 
 
+def _is_card(m: Column) -> Column:
+    luhn = _bind(_digits(m), lambda d: F.pmod(luhn_sum(d, F.char_length(d) % 2 == 0), F.lit(10)) == 0)
+    return m.rlike(f"^{_CARD}$") & luhn & (_digits(m).cast("decimal(20,0)") > 0)
+
+
+def _pieces(m: Column, kind: Column) -> Column:
+    """Array of kind and string that make up a match: itself, or the cards among several numbers and what is between them.
+
+    From left to right the longest valid card is taken. Beside other numbers
+    it has a usual grouping, or is all that the first 19 digits can hold.
+    """
+    of = "array<struct<kind:string,old:string>>"
+    one = F.array(F.struct(kind.alias("kind"), m.alias("old"))).cast(of)
+
+    def cards(tokens: Column) -> Column:
+        n = F.size(tokens)
+        body = lambda i, c: F.regexp_replace(F.array_join(F.slice(tokens, i + 1, c), ""), "[ -]$", "")
+        full = lambda i, c: (i == 0) & ((c == n) | (F.char_length(_digits(body(i, c + 1))) > 19))
+        fits = lambda i, c: _bind(body(i, c), lambda t: (t.rlike(f"^(?:{_GROUPED})$") | full(i, c)) & _is_card(t))
+
+        def turn(acc: Column, i: Column) -> Column:
+            most = F.array_max(F.filter(F.sequence(F.lit(1), F.least(n - i, F.lit(19))), lambda c: fits(i, c)))
+
+            def taken(c: Column) -> Column:
+                count = F.coalesce(c, F.lit(1))
+                old, whole = body(i, count), F.array_join(F.slice(tokens, i + 1, count), "")
+                gap = F.struct(F.lit(None).cast("string").alias("kind"), F.substring(whole, F.char_length(old) + 1, F.lit(1)).alias("old"))
+                new = F.array(F.struct(F.when(c.isNotNull(), F.lit("card")).alias("kind"), old.alias("old")), gap)
+                return F.struct((i + count).cast("int").alias("next"), F.concat(acc["out"], new).cast(of).alias("out"))
+
+            return F.when(i < acc["next"], acc).otherwise(_bind(most, taken))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast(of).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), start, turn)["out"]
+
+    several = kind.isNull() & m.rlike(f"^{_RUN}$") & m.rlike("[ -]")
+    return F.when(several, _bind(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), cards)).otherwise(one)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """Pseudonym of a valid match, of the same kind."""
     tail = F.regexp_extract(m, r"(?:\.[A-Za-z0-9-]+\.[A-Za-z]+)?$", 0)  # the last two labels of a host stay
@@ -201,9 +248,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms; ``pii_found`` (array of kind and pseudonym) is added.
 
     Kinds: email addresses (up to the last two labels of the host), phone
-    numbers with a country code (which stays), IPv4 addresses, calendar dates
+    numbers with a country code (which stays) or in a national form, IPv4 addresses, calendar dates
     from 1900 to mid-2100, national identification numbers, payment card
-    numbers that pass the Luhn check, and hexadecimal secrets after words such
+    numbers that pass the Luhn check, also beside other numbers, and hexadecimal secrets after words such
     as ``token =``. Numbers that fail their validation stay. A null text stays
     null; rows are independent of each other, so repeated rows and ties need
     nothing, and an empty table gives an empty table. Originals are in no
@@ -216,15 +263,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     rows = docs.select(*own, searched.alias("pii_hits"))
     valued = F.transform(
         "pii_hits",
-        lambda m: _bind(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("old"), pseudonym(m, k, key).alias("new"))),
+        lambda m: F.transform(
+            _bind(kind_of(m), lambda k: _pieces(m, k)),
+            lambda p: F.struct(p["kind"].alias("kind"), p["old"].alias("old"), pseudonym(p["old"], p["kind"], key).alias("new")),
+        ),
     )
     any_hit = F.size(F.coalesce("pii_hits", F.array().cast("array<string>"))) > 0
     rows = rows.withColumn("pii_hits", F.when(any_hit, valued))
     between = F.split(text, FIND, -1)
-    after = F.concat(F.transform("pii_hits", lambda h: F.coalesce(h["new"], h["old"])), F.array(F.lit("")))
+    after = F.concat(F.transform("pii_hits", lambda h: F.array_join(F.transform(h, lambda p: F.coalesce(p["new"], p["old"])), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, after, lambda a, b: F.concat(a, b)), "")
     found = F.transform(
-        F.filter("pii_hits", lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("pseudonym"))
+        F.filter(F.flatten("pii_hits"), lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("pseudonym"))
     )
     none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     return rows.select(
