@@ -106,3 +106,14 @@ def test_every_id_is_in_one_piece_and_padding_is_small(spark, chunk):
 
 def test_empty_table(spark):
     assert pk.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_sentences_shorter_than_the_spacing_still_give_states():
+    ends = np.arange(8, 5001, 8)
+    documents = np.array([5000])
+    assert np.diff(pk._spaced(ends)).tolist() == [16] * 312
+    cuts = pk.plan_cuts(ends, documents, 5000, 1024, True)
+    assert set(cuts.tolist()[:-3]) <= set(ends.tolist()) and cuts[-1] == 5000
+    odd = np.concatenate([np.arange(7, 4000, 7), [4000]])
+    cuts = pk.plan_cuts(odd, np.array([4000]), 4000, 64, True)
+    assert np.isin(cuts[:-3], odd).all()

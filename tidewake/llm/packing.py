@@ -99,6 +99,16 @@ def waste(length: int, limit: int) -> int:
     return 0 if length & (length - 1) == 0 else limit - length
 
 
+def _spaced(ends: np.ndarray) -> np.ndarray:
+    """The first of the ends, and each that is at least ``CLOSEST`` after the last one taken."""
+    out, free = [], 0
+    for end in ends.tolist():
+        if end >= free:
+            out.append(end)
+            free = end + CLOSEST
+    return np.array(out, dtype=np.int64)
+
+
 def plan_cuts(ends: np.ndarray, documents: np.ndarray, total: int, limit: int, final: bool) -> np.ndarray:
     """Positions where sequences end, the last at ``total`` if ``final``, else a window or two before it.
 
@@ -108,10 +118,10 @@ def plan_cuts(ends: np.ndarray, documents: np.ndarray, total: int, limit: int, f
     padding(j - i) + penalty(j): for most i padding is limit - j + i, so the
     least f(i) + i of those within reach is kept in a monotone queue; starts at
     half and at a quarter of the length, which need no padding, are looked up.
-    Of sentence ends, one less than ``CLOSEST`` after another is no state.
+    Of sentence ends, one less than ``CLOSEST`` after the last that is a state is none.
     """
     last = int(documents[-1]) if len(documents) else 0
-    where = np.union1d(ends[np.diff(ends, prepend=-CLOSEST) >= CLOSEST], documents) if len(ends) else documents
+    where = np.union1d(_spaced(ends), documents) if len(ends) else documents
     where = where[(where > 0) & (where < total)]
     costs = np.where(np.isin(where, documents), SEQUENCE_COST, SEQUENCE_COST + DOCUMENT_COST).tolist()
     fixed = where.tolist()
