@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows (of a few dozen bytes) up to which a counted table is broadcast: some 20 MB.
-BROADCAST_ROWS = 400_000
+#: Bytes of rows, as measured, up to which a table is broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str = "tidewake") -> str:
+    """A folder of this application in the shared one; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -44,15 +53,28 @@ def written(df: DataFrame) -> DataFrame:
     ran, and later reads neither recompute the rows nor see other ones.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table of narrow rows), hinted for broadcast if it has few rows.
+def _bytes(c: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 8
+    if isinstance(kind, StructType):
+        return sum((_bytes(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, ArrayType):
+        one = F.aggregate(c, F.lit(16).cast("long"), lambda sum, x: sum + _bytes(x, kind.elementType))
+        return F.coalesce(one, F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table), hinted for broadcast if its rows take ``BROADCAST_BYTES`` at most.
 
-    Beyond ``rows`` there is no hint: the join shuffles, and adaptive execution
+    Beyond that there is no hint: the join shuffles, and adaptive execution
     splits the hot keys of the other side.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df

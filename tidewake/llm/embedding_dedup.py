@@ -244,7 +244,7 @@ def embedding_links(
             F.coalesce("smallest", "first").alias("component_id"),
         )
     )
-    by_vector = small(written(linked.join(nodes.select("node", "v"), "node").select("v", "n_links", "component_id")), 50_000)
+    by_vector = small(written(linked.join(nodes.select("node", "v"), "node").select("v", "n_links", "component_id")))
     out = base.withColumn("v", F.when(fine, F.col("v"))).join(by_vector, "v", "left")
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select(

@@ -1,100 +1,315 @@
-"""Operator 5, line dedup by winnowing over line hashes."""
+"""Operator 5, line dedup by winnowing over hashes of lines and, inside long lines, of word sequences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm._shared import small, written
 
-#: Lines of the shortest run that is deleted, which is also the winnowing window.
-RUN_LINES = 2
-#: Words from which on a single line is a passage and counts as a run.
-LONG_WORDS = 50
-WORD = r"[^\x20\x09-\x0D]+"
+#: A line gram is this many lines in sequence; of so many line grams in sequence the least hash is selected.
+GRAM_LINES, WINDOW_LINES = 2, 2
+#: The same for words.
+GRAM_WORDS, WINDOW_WORDS = 24, 27
+#: Words of the shortest passage that certainly holds a selected word gram. Line grams are shorter than this.
+PASSAGE_WORDS = GRAM_WORDS + WINDOW_WORDS - 1
+#: Words to either side of a fingerprint that a match may be extended by; beyond them lies the next fingerprint.
+REACH = PASSAGE_WORDS
+#: Bytes of text that are hashed at once, if a text isn't longer.
+_AT_ONCE = 1 << 21
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+_POWERS = np.multiply.accumulate(np.array([1] + [_BASE] * 0xFFFF, dtype="<u8"))
+
+
+# --- fingerprints -----------------------------------------------------------
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_FIRST)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_SECOND)
+    return h ^ (h >> np.uint64(32))
+
+
+def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A mixed polynomial hash of each run of ``values``; runs follow each other and none is empty."""
+    if not len(sizes):
+        return np.zeros(0, "<u8")
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(values)) - np.repeat(first, sizes)
+    sums = np.add.reduceat((values + np.uint64(1)) * _POWERS[at & 0xFFFF], first)
+    return _mixed(sums + sizes.astype("<u8"))
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k values in sequence, by doubling; shorter than ``h`` by k - 1."""
+    have, size, done, out = h, 1, 0, None
+    while True:
+        if k & size:
+            if out is None:
+                out, done = have, size
+            else:
+                n = len(h) - done - size + 1
+                out = out[: max(n, 0)] * np.uint64(pow(_BASE, size, 1 << 64)) + have[done : done + max(n, 0)]
+                done += size
+        if done == k:
+            return _mixed(out)
+        n = max(len(have) - size, 0)
+        have = have[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + have[size : size + n]
+        size *= 2
+
 
+def _least(g: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least (of equal ones the last) of every w values in sequence, by doubling."""
+    better = lambda a, b: np.where(g[b] <= g[a], b, a)
+    at, size = np.arange(len(g)), 1
+    while size * 2 <= w:
+        at = better(at[:-size], at[size:])
+        size *= 2
+    return better(at[: len(at) - (w - size)], at[w - size :]) if w > size else at
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run_lines: int, long_words: int) -> DataFrame:
-    """Each run of ``run_lines`` lines and each long line: document, position, lines, fingerprint and its position, 128-bit hash.
 
-    The fingerprint is the window's least line hash (the rightmost of equal
-    ones). Equal runs have equal fingerprints at equal places: that is
-    winnowing's guarantee. Runs of blank lines only are left out.
+def winnowed(g: np.ndarray, valid: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
+    """Places of the window minima: per stretch of valid hashes of a document, of every w in sequence, or of all if it is shorter."""
+    at = np.flatnonzero(valid)
+    if not len(at):
+        return at
+    key, of = g[at], doc[at]
+    stretch = np.cumsum(np.concatenate([[0], (np.diff(at) != 1) | (of[1:] != of[:-1])]))
+    picks = []
+    if len(at) >= w:
+        least = _least(key, w)
+        picks.append(least[stretch[: len(least)] == stretch[w - 1 :]])
+    alone = np.flatnonzero(np.bincount(stretch)[stretch] < w)
+    if len(alone):
+        order = alone[np.lexsort((-alone, key[alone], stretch[alone]))]
+        picks.append(order[np.diff(stretch[order], prepend=-1) != 0])
+    return at[np.unique(np.concatenate(picks))]
+
+
+def selected(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Fingerprints of texts: hash, number of the text, first word, words, whether of lines.
+
+    Words are runs of other bytes than 20 and 09-0D. Lines without a word
+    count for nothing. A line gram of ``PASSAGE_WORDS`` or more words is none,
+    since its words have a fingerprint.
     """
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.split(text_col, "\n", -1).alias("lines")
-    )
-    hashed = lines.select(
-        "doc",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x)).alias("h2"),
-        F.transform("lines", lambda x: F.trim(x) == "").alias("blank"),
-        F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.regexp_count(F.get("lines", i), F.lit(WORD)) >= long_words).alias("long"),
-    )
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    inside = ~_BLANK[data]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    doc = np.searchsorted(begins, starts, "right") - 1
+    before = np.searchsorted(doc, np.arange(len(texts)))
+    words = _summed(data[inside].astype("<u8"), ends - starts)
+
+    found = []
+    if len(words) >= GRAM_WORDS:
+        g = _rolled(words, GRAM_WORDS)
+        of = doc[: len(g)]
+        at = winnowed(g, of == doc[GRAM_WORDS - 1 :], of, WINDOW_WORDS)
+        found.append((g[at], of[at], at - before[of[at]], np.full(len(at), GRAM_WORDS), np.zeros(len(at), bool)))
+    lines = np.flatnonzero(np.diff(np.cumsum(data == 10)[starts], prepend=-1)) if len(starts) else starts
+    if len(lines) >= GRAM_LINES:
+        sizes = np.diff(np.append(lines, len(words)))
+        g = _rolled(_summed(words, sizes), GRAM_LINES)
+        of = doc[lines]
+        n = np.convolve(sizes, np.ones(GRAM_LINES, dtype=np.int64), "valid")
+        at = winnowed(g, (of[: len(g)] == of[GRAM_LINES - 1 :]) & (n < PASSAGE_WORDS), of[: len(g)], WINDOW_LINES)
+        found.append((~g[at], of[at], lines[at] - before[of[at]], n[at], np.ones(len(at), bool)))
+    if not found:
+        return tuple(np.zeros(0, t) for t in ("<u8", np.int64, np.int64, np.int64, bool))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        start = size = 0
+        for k, t in enumerate(texts):
+            texts[k] = t.encode("utf-8", "replace")
+            size += len(texts[k]) + 1
+            if size < _AT_ONCE and k + 1 < len(texts):
+                continue
+            h, of, p, n, lines = selected(texts[start : k + 1])
+            at = pa.array(of + start, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view("<i8")), batch.column("doc").take(at), batch.column("tag").take(at),
+                 pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(lines)],
+                ["fp", "doc", "tag", "p", "n", "lines"],
+            )
+            texts[start : k + 1] = [None] * (k + 1 - start)
+            start, size = k + 1, 0
+
+
+# --- extension --------------------------------------------------------------
 
-    def window(i, n):
-        h = F.slice("h", i + 1, F.lit(n))
-        return F.struct(
-            i.alias("pos"),
-            F.lit(n).alias("n"),
-            F.array_min(h).alias("fp"),
-            (i + n - F.array_position(F.reverse(h), F.array_min(h))).alias("fp_pos"),
-            F.xxhash64(h).alias("w1"),
-            F.xxhash64(F.slice("h2", i + 1, F.lit(n))).alias("w2"),
-            F.forall(F.slice("blank", i + 1, F.lit(n)), lambda b: b).alias("blank"),
-        )
 
-    places = F.when(F.size("h") >= run_lines, F.sequence(F.lit(0), F.size("h") - run_lines)).otherwise(F.array().cast("array<int>"))
-    each = F.concat(F.transform(places, lambda i: window(i, run_lines)), F.transform("long", lambda i: window(i, 1)))
-    return hashed.select("doc", F.explode(each).alias("w")).select("doc", "w.*").where("NOT blank").drop("blank")
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands before, in and after each asked fingerprint of a text, words joined by blanks."""
+    for b in batches:
+        rows = []
+        for text, asked in zip(b["text"], b["asked"], strict=True):
+            w = text.encode("utf-8", "replace").split()
+            for a in asked:
+                p, n = a["p"], a["n"]
+                rows.append((a["fp"], *(b" ".join(x) for x in (w[max(0, p - REACH) : p], w[p : p + n], w[p + n : p + n + REACH]))))
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=["fp", "left", "own", "right"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["fp", "left", "own", "right"])
 
 
-def drop_repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS
-) -> DataFrame:
-    """``docs`` without lines of repeated runs; ``ld_lines`` and ``ld_deleted`` (line numbers from 0) are added.
+def _agree(a: list[bytes], b: list[bytes]) -> int:
+    """Number of equal items at the beginning."""
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
 
-    A run of at least ``run_lines`` lines, or a line of at least ``long_words``
-    words, goes where the same lines occurred
-    before, in order of ids and lines. The first occurrence stays, and an
-    occurrence in the same document that overlaps the first one is part of it.
-    Lines end at line feeds and are equal if their bytes are.
 
-    Texts of fewer lines, empty and null ones stay as they are (a null has 0
-    lines, an empty text 1). A row with a null id stays as it is and counts as
-    no occurrence. Rows that repeat an id and a text are one document and lose
-    the same lines. An empty table gives an empty table.
+def extended(text: str, runs: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its repeated runs, and the word ranges that are gone.
 
-    Fingerprints that occur at one place only are dropped first, so what is
-    compared are runs around repeated fingerprints. A run's first occurrence is
-    a pre-aggregated minimum, and every later one meets it alone: no pairs of
-    occurrences are made, however frequent a run is. Windows that follow each
-    other extend a match in both directions; their union is what goes.
+    A run has the places of its first and last fingerprint, the lengths of
+    these, and what stands there in the first occurrence. It counts if the
+    words of both are equal, and is extended to either side as far as words
+    agree; a run of lines by whole lines.
     """
-    found = written(windows(docs, id_col, text_col, run_lines, long_words))
-    place = F.struct("doc", "fp_pos")
-    repeated = written(
-        found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp")
-    )
-    near = found.join(small(repeated), "fp", "left_semi")
-    at = F.struct("doc", "pos")
-    first = written(
-        near.groupBy("n", "w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("n", "w1", "w2", "a")
-    )
-    later = near.join(small(first), ["n", "w1", "w2"]).where(
-        (F.col("doc") != F.col("a.doc")) | (F.col("pos") >= F.col("a.pos") + F.col("n"))
-    )
-    starts = written(later.groupBy(F.col("doc").alias("ld_doc")).agg(F.collect_set(F.struct("pos", "n")).alias("ld_starts")))
-
-    own = [c for c in docs.columns if not c.startswith("ld_")]
-    rows = docs.select(*own).join(small(starts, 100_000), F.col(id_col) == F.col("ld_doc"), "left")
-    rows = rows.withColumn("ld_all", F.split(text_col, "\n", -1))
-    covered = lambda i: F.exists("ld_starts", lambda s: (i >= s["pos"]) & (i < s["pos"] + s["n"]))
-    kept = F.array_join(F.filter("ld_all", lambda x, i: ~covered(i)), "\n")
-    gone = F.filter(F.sequence(F.lit(0), F.size("ld_all") - 1), covered)
-    hit = F.col("ld_starts").isNotNull()
-    return rows.select(
-        *[F.when(hit, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own],
-        F.when(F.col("ld_all").isNull(), 0).otherwise(F.size("ld_all")).alias("ld_lines"),
-        F.when(hit, gone).otherwise(F.array().cast("array<int>")).alias("ld_deleted"),
+    data = text.encode("utf-8", "replace")
+    a = np.frombuffer(data, dtype=np.uint8)
+    edge = np.diff((~_BLANK[a]).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    words = data.split()
+    lines = np.append(np.flatnonzero(np.diff(np.cumsum(a == 10)[starts], prepend=-1)), len(words))
+    gone = []
+    for r in runs:
+        s, last = r["s"], r["last"]
+        e = last + r["last_n"]
+        if b" ".join(words[s : s + r["first_n"]]) != r["own"] or b" ".join(words[last:e]) != r["last_own"]:
+            continue  # equal hashes of different words
+        left, right = r["left"].split(), r["right"].split()
+        low = s - _agree(words[max(r["floor"], s - len(left)) : s][::-1], left[::-1])
+        high = e + _agree(words[e : e + len(right)], right)
+        if r["lines"]:
+            low = int(lines[np.searchsorted(lines, low)])
+            high = int(lines[np.searchsorted(lines, high, "right") - 1])
+        gone.append((low, high))
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(gone):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    kept, at = [], 0
+    for low, high in merged:
+        to_end = high == len(words)
+        cut = (int(ends[low - 1]) if low else 0) if to_end else int(starts[low])
+        kept.append(data[at:cut])
+        at = len(data) if to_end else int(starts[high])
+    kept.append(data[at:])
+    return b"".join(kept).decode("utf-8", "replace"), merged
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """Struct of the text without the runs and the word ranges that are gone; null where there are no runs."""
+
+    @F.pandas_udf("text string, gone array<struct<first int, end int>>")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, given in batches:
+            out = [(None, None) if r is None else extended(t, list(r)) for t, r in zip(texts, given, strict=True)]
+            gone = [x[1] if x[1] is None else [{"first": f, "end": e} for f, e in x[1]] for x in out]
+            yield pd.DataFrame({"text": pd.Series([x[0] for x in out], dtype=object), "gone": pd.Series(gone, dtype=object)})
+
+    return of(F.when(runs.isNotNull(), text), runs)
+
+
+# --- operator ---------------------------------------------------------------
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """Runs of the texts of ``base`` (doc, tag, text) that repeat earlier ones, not yet extended: an array for each document.
+
+    Places of selected fingerprints are joined with the fingerprint's first
+    place, a pre-aggregated minimum, so no pairs of occurrences are made.
+    Fingerprints that follow each other at one distance from their first
+    places are one run. Only the two at its ends bring the first occurrence's
+    words along, to be compared and extended.
+    """
+    doc_type = base.schema["doc"].dataType.simpleString()
+    found = written(base.mapInArrow(_fingerprints, f"fp long, doc {doc_type}, tag long, p int, n int, lines boolean"))
+    place = F.struct("doc", "tag", "p", "n")
+    first = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp", "a"))
+    same = (F.col("doc") == F.col("a.doc")) & (F.col("tag") == F.col("a.tag"))
+    later = found.join(small(first), "fp").where(~same | (F.col("p") >= F.col("a.p") + F.col("a.n")))
+    of_run = ["doc", "tag", "lines", "first_doc", "first_tag", "lag"]
+    later = later.select(
+        "fp", "doc", "tag", "p", "n", "lines", F.col("a.doc").alias("first_doc"), F.col("a.tag").alias("first_tag"),
+        (F.col("p") - F.col("a.p")).alias("lag"), F.when(same, F.col("a.p") + F.col("a.n")).otherwise(0).alias("floor"),
+    )
+    in_order = Window.partitionBy(*of_run).orderBy("p", "n")
+    reached = F.max(F.col("p") + F.col("n")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.when(F.col("p") <= reached, 0).otherwise(1))
+    islands = islands.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = written(
+        islands.groupBy(*of_run, "run")
+        .agg(F.min(F.struct("p", "n", "fp", "floor")).alias("x"), F.max(F.struct("p", "n", "fp")).alias("y"))
+        .select(
+            "doc", "tag", "lines", F.col("x.p").alias("s"), F.col("x.n").alias("first_n"), F.col("x.floor").alias("floor"), F.col("x.fp").alias("from_fp"),
+            F.col("y.p").alias("last"), F.col("y.n").alias("last_n"), F.col("y.fp").alias("to_fp"),
+        )
+    )
+
+    ends = written(runs.select(F.col("from_fp").alias("fp")).unionByName(runs.select(F.col("to_fp").alias("fp"))).distinct())
+    asked = first.join(small(ends), "fp").groupBy(F.col("a.doc").alias("doc"), F.col("a.tag").alias("tag"))
+    asked = written(asked.agg(F.collect_list(F.struct("fp", F.col("a.p").alias("p"), F.col("a.n").alias("n"))).alias("asked")))
+    around = base.join(small(asked), ["doc", "tag"]).select("text", "asked").mapInPandas(_contexts, "fp long, left binary, own binary, right binary")
+    around = small(written(around.dropDuplicates(["fp"])))
+    whole = runs.join(around.withColumnRenamed("fp", "from_fp").drop("right"), "from_fp").join(
+        around.select(F.col("fp").alias("to_fp"), F.col("own").alias("last_own"), "right"), "to_fp"
     )
+    return written(whole.groupBy("doc", "tag").agg(F.collect_list(F.struct(*[c for c in whole.columns if c not in ("doc", "tag", "from_fp", "to_fp")])).alias("runs")))
+
+
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without repeated runs of lines and words; ``ld_deleted``, an array of word ranges (first, end), is added.
+
+    A run goes where the same words occurred before, in order of ids and
+    places. The first occurrence stays, and so does what overlaps it in the
+    same document. Found for certain are
+
+    * a run of three lines or more (lines without a word aren't counted),
+    * a run of ``PASSAGE_WORDS`` words or more, wherever it begins and ends in
+      its lines: of it at least what lies between its first and last selected
+      gram, and all of it unless another text had a part of it still earlier.
+
+    Shorter runs, of two lines or of ``GRAM_WORDS`` words, go if their hash was
+    selected. Nothing goes whose words aren't compared with those of the first
+    occurrence: hashes only propose. Words are equal if their bytes are; what
+    separates them isn't compared.
+
+    Texts without such a run, empty and null ones stay as they are. A row with
+    a null id stays and counts as no occurrence. Rows that repeat an id and a
+    text are one document and lose the same; rows of one id and different
+    texts are different documents. An empty table gives an empty table. A
+    column named ``ld_deleted`` is replaced; others may have any name.
+    """
+    text, of = F.col(text_col).cast("string"), F.col(id_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of.alias("doc"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
+    base = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "tag", "text")
+    runs = small(repeated_runs(base))
+    rows = rows.join(runs, ["doc", "tag"], "left")
+    out = rows.select("row", "runs", _without(F.col("text"), F.col("runs")).alias("got"))
+    hit = F.col("got.gone").isNotNull()
+    own = [
+        F.when(hit, F.col("got.text")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+        if c != "ld_deleted"
+    ]
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    return out.select(*own, F.coalesce("got.gone", none).alias("ld_deleted"))

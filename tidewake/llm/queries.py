@@ -79,9 +79,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
-        F.col("ld_lines").cast("long").alias("n_lines"),
-        F.size("ld_deleted").cast("long").alias("n_deleted"),
-        F.array_join(F.transform("ld_deleted", lambda i: i.cast("string")), ",").alias("deleted"),
+        F.aggregate("ld_deleted", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"]).alias("n_deleted"),
+        F.array_join(F.transform("ld_deleted", lambda r: F.concat_ws("-", r["first"].cast("string"), r["end"].cast("string"))), ",").alias("deleted"),
         F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
     )
 
@@ -162,26 +161,5 @@ FROM s GROUP BY conv_id
 """
 
 
-_OP5 = """
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-     p AS (SELECT doc_id, a, unnest(range(len(a) - 1)) AS pos FROM l WHERE len(a) >= 2),
-     e AS (SELECT doc_id, pos, a[pos + 1] AS t FROM (SELECT doc_id, a, unnest(range(len(a))) AS pos FROM l)),
-     w AS (SELECT doc_id, pos, 2 AS n, a[pos + 1] || chr(10) || a[pos + 2] AS t FROM p
-           WHERE trim(a[pos + 1]) <> '' OR trim(a[pos + 2]) <> ''
-           UNION ALL SELECT doc_id, pos, 1, t FROM e WHERE len(regexp_extract_all(t, '[^ \\t-\\r]+')) >= 50),
-     f AS (SELECT doc_id, pos, n, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM w
-           WINDOW o AS (PARTITION BY n, t ORDER BY doc_id, pos)),
-     g AS (SELECT DISTINCT doc_id, pos + k AS i FROM f, (VALUES (0), (1)) AS v(k)
-           WHERE k < n AND (doc_id <> fd OR pos >= fp + n)),
-     d AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id),
-     u AS (SELECT documents.doc_id, coalesce(string_split(text, chr(10)), []) AS a, coalesce(gone, []) AS gone
-           FROM documents LEFT JOIN d USING (doc_id))
-SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_deleted,
-       array_to_string(gone, ',') AS deleted,
-       sha256(array_to_string([a[i + 1] for i in range(len(a)) if NOT list_contains(gone, i)], chr(10))) AS text_sha256
-FROM u
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_chat": _OP4, "op5_line_dedup": _OP5}
+    return {"op1_exact_dedup": _OP1, "op4_chat": _OP4}
