@@ -75,5 +75,38 @@ def test_mixture_holds_the_drawn_words(spark, monkeypatch, task_words):
     assert {r.mix_shard for r in out} <= set(range(5))
 
 
+def test_a_large_partly_taken_block_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(mx, "MOST_BLOCKS", 3)
+    monkeypatch.setattr(mx, "FILL_ROWS", 5)
+    rows = [(i if i % 3 else None, f"{i} " * (i % 11 + 1), "abc"[i % 3]) for i in range(900)]
+    seen = []
+    fill = mx._fill
+    monkeypatch.setattr(mx, "_blocks", lambda spark, sources, divided, seed, of=mx._blocks: seen.append(max(map(len, divided.values()))) or of(spark, sources, divided, seed))
+    got = draws(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+    assert seen[-1] >= 2 and fill is mx._fill
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + sum(d.words for d in r.mix_draws)
+        assert {d.words for d in r.mix_draws} <= {r.mix_size} or sum(d.words != r.mix_size for d in r.mix_draws) == 1
+    want = {r.source: r.mix_target for r in got}
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 2 for s in want)
+
+
+def test_rows_without_an_id_are_in_blocks_of_their_own(spark):
+    rows = [(None, f"text {i} " * 5, "a") for i in range(600)] + [(None, "more words", "b")] * 3
+    got = draws(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+    shards = {d.shard for r in got for d in r.mix_draws if r.source == "a"}
+    assert len(shards) == 4 and len({repr(r.mix_draws) for r in got if r.source == "b"}) == 1
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["mix_weight", "mix_size", "mix_draw", "mix_place", "mix_part", "row", "draw", "place", "part", "key", "block", "divided", "units", "a.b"]
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").select("*", *[F.lit(n).alias(n) for n in names])
+    out = mix(docs, shards=3).collect()
+    assert out and all(r.asDict()[n] == n for r in out[:50] for n in names)
+    drawn = draws(docs, shards=3).collect()
+    assert all(r.asDict()[n] == n for r in drawn[:50] for n in names if n != "mix_size") and isinstance(drawn[0].mix_size, int)
+
+
 def test_empty_table(spark):
     assert draws(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

@@ -9,6 +9,7 @@ shuffled inside their shard.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,10 @@ from tidewake.llm._shared import small, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order of code points, repeating; and how often a document is taken at most.
 WEIGHTS, MOST_TIMES = (5, 2, 1), 3
-#: Documents of a block on average, and blocks of a source at most.
+#: Documents of a block on average, and parts that a source, or a block that has to be divided, is dealt into at most.
 PER_BLOCK, MOST_BLOCKS = 64, 4096
+#: Different documents of a partly taken block up to which one task fills it; a larger block is divided again.
+FILL_ROWS = 4096
 #: Part of a source's target up to which whole documents may miss it; a document is cut otherwise.
 TOLERANCE = 0.002
 #: Words of a shard that one task shuffles on average; larger shards are dealt to several tasks, in order.
@@ -127,53 +130,51 @@ def draws(
     but for at most one document per source, which is cut to its first words
     where whole documents can't come near the target. A null text has no
     words; a null source is a source like others; repeated rows are taken
-    alike; sources without words are taken nothing of; an empty table gives an
-    empty table. The same rows give the same draws, however partitioned.
-
-    One row per source and the quotas (sources by shards) are on the driver.
-    Everything else stays with the rows: block sums are pre-aggregated, and the
-    rows get their draws by joins with small tables, hinted for broadcast only
-    after being counted.
+    alike, and rows with a null id are told apart by their texts; sources
+    without words are taken nothing of; an empty table gives an empty table.
+    Columns of ``docs`` with one of the four names are replaced, others may
+    have any name. The same rows give the same draws, however partitioned.
+
+    One row per source and the quotas (sources by shards) are on the driver: a
+    source is a category of a mixture. Everything else stays with the rows:
+    block sums are pre-aggregated, and the rows get their draws by joins with
+    small tables, hinted for broadcast only after being measured.
     """
-    return _drawn(docs, id_col, text_col, source_col, shards, seed, tolerance)[0]
+    out = _drawn(docs, id_col, text_col, source_col, shards, seed, tolerance)[0]
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in out.columns[1:]]
+    return out.select(*own, *out.columns[1:])
 
 
 def _drawn(
     docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, tolerance: float
 ) -> tuple[DataFrame, int]:
-    """What ``draws`` returns, and the number of words that the mix takes."""
+    """``row`` (a row of docs) with the columns that ``draws`` adds, and the number of words that the mix takes."""
     spark = docs.sparkSession
+    text = F.col(text_col)
+    by_text = F.concat(F.lit("text "), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), F.lit(" "), F.coalesce(F.octet_length(text), F.lit(-1)).cast("string"))
     base = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns if not c.startswith("mix_")]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"),
-        size_in_words(F.col(text_col)).alias("size"),
+        F.coalesce(F.col(id_col).cast("string"), by_text).alias("key"),
+        size_in_words(text).alias("size"),
     )
     sizes = written(base.drop("row"))
     sources = _sources(sizes)
-    plan = spark.createDataFrame(
-        [(s.name, s.size, s.blocks, s.target, s.whole, s.rest) for s in sources],
-        "source string, source_size long, blocks int, target double, whole int, rest long",
-    )
-    plan = small(written(plan))
-
-    def blocked(rows: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int")
-        return _join(rows, plan, ["source"]).withColumn("block", block)
-
-    # A source's blocks, MOST_BLOCKS at most, in permuted order: ``need`` is what is left of the rest when their turn comes.
-    own = ["source", "block", "whole", "rest", "target"]
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
-    sums = blocked(sizes).groupBy(*own).agg(F.sum("size").alias("words"))
-    blocks = written(sums.withColumn("need", F.col("rest") - F.sum("words").over(permuted) + F.col("words")))
-    partly = (F.col("need") > 0) & (F.col("need") < F.col("words"))
-
-    last = small(written(blocks.where(partly).select("source", "block", "need")))
-    pool = _join(blocked(sizes), last, ["source", "block"]).groupBy("source", "key", "size", "need", "target")
+    divided: dict[str | None, list[list[int]]] = {s.name: [] for s in sources}
+    while True:  # more than once only if a partly taken block is too large for one task
+        blocked = _blocks(spark, sources, divided, seed)
+        blocks = written(_needs(blocked(sizes), seed))
+        partly = (F.col("need") > 0) & (F.col("need") < F.col("words"))
+        last = small(written(blocks.where(partly).select("source", "block", "need")))
+        pool = _join(blocked(sizes), last, ["source", "block"]).groupBy("source", "block", "key", "size", "need", "target")
+        pool = written(pool.agg(F.count("*").alias("n")))
+        large = pool.groupBy("source", "block").agg(F.countDistinct("key").alias("n")).where(F.col("n") > FILL_ROWS).collect()
+        if not large:
+            break
+        for r in large:
+            divided[r["source"]].append(list(r["block"]))
     picks = written(
-        pool.agg(F.count("*").alias("n"))
-        .groupBy("source")
-        .applyInPandas(lambda rows: _fill(rows, tolerance, seed), "source string, key string, size long, words long")
+        pool.groupBy("source").applyInPandas(lambda rows: _fill(rows, tolerance, seed), "source string, key string, size long, words long")
     )
 
     # A unit is a block taken once. Each source's units, permuted, go to the shards in runs as long as their quotas.
@@ -214,8 +215,36 @@ def _drawn(
         F.col("target").alias("mix_target"),
         F.filter(made, lambda d: d["words"] > 0).alias("mix_draws"),
     )
-    total = sum(s.whole * s.size + s.rest for s in sources)
-    return out.select("row.*", *out.columns[1:]), total  # apart, as the row may have columns of the names used above
+    return out, sum(s.whole * s.size + s.rest for s in sources)
+
+
+def _blocks(spark, sources: list[Source], divided: dict, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """What adds to rows their source's plan and their block: a part of the source, then of each divided block that holds the row."""
+    plan = spark.createDataFrame(
+        [(s.name, s.size, s.blocks, s.target, s.whole, s.rest, divided[s.name]) for s in sources],
+        "source string, source_size long, blocks int, target double, whole int, rest long, divided array<array<int>>",
+    )
+    plan, depth = small(written(plan)), max(map(len, divided.values()), default=0)
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        block = F.array(F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int"))
+        for k in range(depth):
+            part = F.pmod(F.xxhash64("key", F.lit(seed + 10 + k)), F.lit(MOST_BLOCKS)).cast("int")
+            block = F.when(block == F.get("divided", F.lit(k)), F.concat(block, F.array(part))).otherwise(block)
+        return _join(rows, plan, ["source"]).withColumn("block", block).drop("divided", "blocks")
+
+    return blocked
+
+
+def _needs(rows: DataFrame, seed: int) -> DataFrame:
+    """Words of each block and ``need``, what is left of its source's rest when its turn comes in permuted order.
+
+    Parts of a divided block come where it stood, so what came before is as before.
+    """
+    sums = rows.groupBy("source", "block", "whole", "rest", "target").agg(F.sum("size").alias("words"))
+    order = F.transform("block", lambda b: F.xxhash64(b, F.lit(seed + 1)))
+    permuted = Window.partitionBy("source").orderBy(order, "block")
+    return sums.withColumn("need", F.col("rest") - F.sum("words").over(permuted) + F.col("words"))
 
 
 def _sources(sizes: DataFrame) -> list[Source]:
@@ -251,26 +280,27 @@ def mix(
 
     Rows are dealt to tasks by shard and are in shuffled order inside it. A
     shard of more than TASK_WORDS words is dealt to several tasks by ranges of
-    that order, so that a task's size doesn't grow with the corpus. The text of a cut document is its first ``mix_words`` words with what stands
-    between them. See ``draws`` for the rest.
+    that order, so that a task's size doesn't grow with the corpus. The text of
+    a cut document is its first ``mix_words`` words with what stands between
+    them. See ``draws`` for the rest; of columns of ``docs`` only those with one
+    of the three names are replaced.
     """
     drawn, total = _drawn(docs, id_col, text_col, source_col, shards, seed, tolerance)
     parts = max(1, -(-total // (shards * TASK_WORDS)))
-    rows = drawn.withColumn("mix_draw", F.explode("mix_draws"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("mix_draw.words").cast("int")), "")
-    cut = F.when(F.col("mix_draw.words") < F.col("mix_size"), first).otherwise(F.col(text_col))
-    place = F.xxhash64(F.struct(*[F.col(c) for c in docs.columns if c != text_col]), "mix_draw.epoch", F.lit(seed))
+    rows = drawn.select("row", "mix_size", F.explode("mix_draws").alias("draw"))
+    text = F.col(f"row.`{text_col}`")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), "")
+    cut = F.when(F.col("draw.words") < F.col("mix_size"), first).otherwise(text)
+    place = F.xxhash64(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]), "draw.epoch", F.lit(seed))
+    added = {"mix_epoch": "epoch", "mix_shard": "shard", "mix_words": "words"}
     return (
-        rows.withColumn(text_col, cut)
-        .withColumn("mix_place", F.shiftrightunsigned(place, 1))
-        .withColumn("mix_part", F.shiftrightunsigned("mix_place", 31) * parts / F.lit(1 << 32))
-        .withColumn("mix_part", F.floor("mix_part").cast("int"))
-        .repartition(shards * parts, "mix_draw.shard", "mix_part")
-        .sortWithinPartitions("mix_draw.shard", "mix_place")
+        rows.withColumn("text", cut)
+        .withColumn("place", F.shiftrightunsigned(place, 1))
+        .withColumn("part", F.floor(F.shiftrightunsigned("place", 31) * parts / F.lit(1 << 32)).cast("int"))
+        .repartition(shards * parts, "draw.shard", "part")
+        .sortWithinPartitions("draw.shard", "place")
         .select(
-            *docs.columns,
-            F.col("mix_draw.epoch").alias("mix_epoch"),
-            F.col("mix_draw.shard").alias("mix_shard"),
-            F.col("mix_draw.words").alias("mix_words"),
+            *[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added],
+            *[F.col(f"draw.{v}").alias(k) for k, v in added.items()],
         )
     )
