@@ -101,3 +101,40 @@ def test_cards_beside_numbers_timestamps_and_national_phones(spark):
     assert same[0] == same[1]
     stay = "4111111111111112 123, 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 4 5, 2024-13-02T10:00, 1.017.555.7713.2"
     assert one(spark, stay).text == stay
+
+
+def test_hosts_of_two_labels_stay_and_case_does_not_matter(spark):
+    olds = ["bob@example.com", "Bob@example.com", "BOB@Example.Com", "al@mail.example.com", *[f"{a}{b}@x.org" for a in "abc" for b in "xyz"]]
+    out = pseudonymise(spark.createDataFrame([(t, t) for t in olds], "old string, text string"), KEY).collect()
+    new = {r.old: r.text for r in out}
+    bob = new["bob@example.com"]
+    assert bob.endswith("@example.com") and bob != "bob@example.com" and re.fullmatch(r"[a-z]{3}@example\.com", bob)
+    assert new["Bob@example.com"].lower() == bob and new["Bob@example.com"][0].isupper() and new["BOB@Example.Com"].lower() == bob
+    assert re.fullmatch(r"[a-z]{2}@[a-z]{4}\.example\.com", new["al@mail.example.com"])
+    assert len({v for k, v in new.items() if k.endswith("x.org")}) == 9
+
+
+def test_access_keys_and_cards_of_no_issuer(spark):
+    keys = ["AKIA" + "Q7" * 8, "ghp_" + "a1B2" * 9, "sk-" + "Zz09" * 6]
+    for k in keys:
+        r = one(spark, f"use {k}, please")
+        assert [f.kind for f in r.pii_found] == ["access_key"] and k not in r.text
+        form = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
+        assert r.text.startswith(f"use {re.match('AKIA|ghp_|sk-', k)[0]}") and form(r.text) == form(f"use {k}, please")
+    stay = "9999999999999995 0000000000000000 sk-short AKIA1 ghp_x"
+    assert one(spark, stay).text == stay
+
+
+def test_repeated_rows_and_columns_of_any_name(spark):
+    names = ["pii_note", "pii_hits", "hits", "row", "kind", "a.b"]
+    docs = spark.createDataFrame([(1, "at 10.20.30.40"), (1, "at 10.20.30.40"), (None, None), (2, "")], "doc_id long, text string")
+    out = pseudonymise(docs.select("*", *[F.lit(n).alias(n) for n in names]), KEY).collect()
+    assert len(out) == 4 and all(r.asDict()[n] == n for r in out for n in names)
+    assert len({r.text for r in out if r.doc_id == 1}) == 1
+
+
+def test_a_key_is_needed(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        pseudonymise(spark.createDataFrame([], "text string"), "")

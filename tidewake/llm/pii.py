@@ -30,10 +30,14 @@ _GROUPED = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\
 #: Numbers of 13 digits or more together; what begins a value of another kind is not part of them.
 _RUN = rf"(?=\d(?:[ -]?\d){{12}})\d+(?:[ -](?!(?:{_IP}|{_DATE}|{_NATIONAL})(?!\w))\d+){{0,400}}"
 _SECRET = r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})"
+#: Beginnings of access keys of public services, and what may follow (fixed values of these formats).
+_ACCESS = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,80}|sk-[A-Za-z0-9]{20,80})"
+#: First digits of payment cards: travel and entertainment, banks, and the range of the second series of one issuer.
+_ISSUER = r"(?:[3-6]|2[2-7])"
 _LED = r"""(?<=(?i:token|secret|key|password|passwd)["']{0,1}\s{0,3}[=:]\s{0,3}["']{0,1})"""
 #: The whole pattern; single values never stand inside longer words, numbers or dotted groups.
 FIND = (
-    rf"(?<![\w.-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d{{2}})|(?:{_LED}{_SECRET}|(?<![\w.+-])(?:{_EMAIL})|(?<![\w.-])(?:{_IP}|{_DATE}|{_NATIONAL})(?![\w-]|\.\d)"
+    rf"(?<![\w.-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d{{2}})|(?:{_LED}{_SECRET}|(?<![\w.+-])(?:{_EMAIL})|(?<![\w.-])(?:{_IP}|{_DATE}|{_NATIONAL}|{_ACCESS})(?![\w-]|\.\d)"
     rf"|(?<![\w]){_PHONE}(?![\w-])|(?<![\w.+-])(?:{_LOCAL})(?![\w-]|\.\d)|(?<![\w.-])(?:{_RUN}))(?!\w)"
 )
 
@@ -144,6 +148,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(m.rlike(f"^(?:{_SECRET})$") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), F.lit("secret"))
+        .when(m.rlike(f"^{_ACCESS}$"), F.when(m.rlike("[0-9]"), F.lit("access_key")))
         .when(m.rlike(f"^{_IP}$"), F.when(octets, F.lit("ip")))
         .when(m.rlike(f"^(?:{_DATE})$"), F.when(_day(m).between(0, DAY_ROWS * DAY_COLUMNS - 1), F.lit("date")))
         .when(
@@ -158,7 +163,7 @@ def kind_of(m: Column) -> Column:
 
 def _is_card(m: Column) -> Column:
     luhn = _bind(_digits(m), lambda d: F.pmod(luhn_sum(d, F.char_length(d) % 2 == 0), F.lit(10)) == 0)
-    return m.rlike(f"^{_CARD}$") & luhn & (_digits(m).cast("decimal(20,0)") > 0)
+    return m.rlike(f"^{_CARD}$") & m.rlike(f"^{_ISSUER}") & luhn
 
 
 def _pieces(m: Column, kind: Column) -> Column:
@@ -195,11 +200,20 @@ def _pieces(m: Column, kind: Column) -> Column:
     return F.when(several, _bind(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), cards)).otherwise(one)
 
 
+def _cased(like: Column, text: Column) -> Column:
+    """``text`` with capitals where ``like`` has them, so that addresses that differ in case only stay linked."""
+    characters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    put = lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)
+    return F.when(~like.rlike("[A-Z]"), text).otherwise(F.array_join(F.zip_with(characters(like), characters(text), put), ""))
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """Pseudonym of a valid match, of the same kind."""
-    tail = F.regexp_extract(m, r"(?:\.[A-Za-z0-9-]+\.[A-Za-z]+)?$", 0)  # the last two labels of a host stay
-    tail = F.when(F.substring_index(m, "@", -1).contains("."), tail).otherwise("")
-    email = _bind(tail, lambda t: F.concat(permute_characters(F.substring(m, F.lit(1), F.char_length(m) - F.char_length(t)), key, "email"), t))
+    tail = F.regexp_extract(m, r"[.@][A-Za-z0-9-]+\.[A-Za-z]+$", 0)  # the last two labels of a host stay
+    head = _bind(tail, lambda t: F.substring(m, F.lit(1), F.char_length(m) - F.char_length(t)))
+    email = F.concat(_bind(head, lambda h: _cased(h, permute_characters(F.lower(h), key, "email"))), tail)
+    begin = F.regexp_extract(m, "^(?:AKIA|gh[pousr]_|sk-)", 0)
+    access = _bind(begin, lambda b: F.concat(b, permute_characters(F.substring(m, F.char_length(b) + 1, F.char_length(m)), key, "access")))
     country = F.regexp_extract(m, r"^\+\d{1,3}[ .-]|^\+\d", 0)
     phone = _bind(
         F.struct(country.alias("c"), F.substring(m, F.char_length(country) + 1, F.char_length(m)).alias("n")),
@@ -236,6 +250,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", F.when(m.rlike("[a-f]"), low).otherwise(high))
+        .when(kind == "access_key", access)
         .when(kind == "ip", ip)
         .when(kind == "date", date)
         .when(kind == "national", national)
@@ -247,37 +262,44 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by pseudonyms; ``pii_found`` (array of kind and pseudonym) is added.
 
-    Kinds: email addresses (up to the last two labels of the host), phone
-    numbers with a country code (which stays) or in a national form, IPv4 addresses, calendar dates
+    Kinds: email addresses (all but the last two labels of the host; those that
+    differ in case only get pseudonyms that do), phone numbers with a country
+    code (which stays) or in a national form, IPv4 addresses, calendar dates
     from 1900 to mid-2100, national identification numbers, payment card
-    numbers that pass the Luhn check, also beside other numbers, and hexadecimal secrets after words such
-    as ``token =``. Numbers that fail their validation stay. A null text stays
-    null; rows are independent of each other, so repeated rows and ties need
-    nothing, and an empty table gives an empty table. Originals are in no
-    output column. The scan makes no shuffle, and texts without a digit or an
-    at sign are not searched.
+    numbers that have an issuer's first digits and pass the Luhn check, also
+    beside other numbers, hexadecimal secrets after words such as ``token =``,
+    and access keys that begin with AKIA, ghp_ (or o, u, s, r) or sk-. Names
+    of people, postal addresses and secrets of other forms aren't looked for,
+    and four numbers up to 255 with points between them are an address even if
+    a version was meant.
+
+    Numbers that fail their validation stay. A null text stays null; rows are
+    independent of each other, so repeated rows and ties need nothing, and an
+    empty table gives an empty table. Columns may have any name; one called
+    ``pii_found`` is replaced. Originals are in no output column. The scan
+    makes no shuffle, and texts without a digit or an at sign are not searched.
     """
-    own = [c for c in docs.columns if not c.startswith("pii_")]
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col)
     searched = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(FIND), F.lit(0)))
-    rows = docs.select(*own, searched.alias("pii_hits"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), searched.alias("hits"))
     valued = F.transform(
-        "pii_hits",
+        "hits",
         lambda m: F.transform(
             _bind(kind_of(m), lambda k: _pieces(m, k)),
             lambda p: F.struct(p["kind"].alias("kind"), p["old"].alias("old"), pseudonym(p["old"], p["kind"], key).alias("new")),
         ),
     )
-    any_hit = F.size(F.coalesce("pii_hits", F.array().cast("array<string>"))) > 0
-    rows = rows.withColumn("pii_hits", F.when(any_hit, valued))
-    between = F.split(text, FIND, -1)
-    after = F.concat(F.transform("pii_hits", lambda h: F.array_join(F.transform(h, lambda p: F.coalesce(p["new"], p["old"])), "")), F.array(F.lit("")))
+    any_hit = F.size(F.coalesce("hits", F.array().cast("array<string>"))) > 0
+    rows = rows.withColumn("hits", F.when(any_hit, valued))
+    between = F.split("text", FIND, -1)
+    after = F.concat(F.transform("hits", lambda h: F.array_join(F.transform(h, lambda p: F.coalesce(p["new"], p["old"])), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, after, lambda a, b: F.concat(a, b)), "")
     found = F.transform(
-        F.filter(F.flatten("pii_hits"), lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("pseudonym"))
+        F.filter(F.flatten("hits"), lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"].alias("kind"), h["new"].alias("pseudonym"))
     )
     none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    return rows.select(
-        *[F.when(F.col("pii_hits").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in own],
-        F.coalesce(found, none).alias("pii_found"),
-    )
+    new = F.when(F.col("hits").isNotNull(), joined).otherwise(F.col("text"))
+    own = [(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "pii_found"]
+    return rows.select(*own, F.coalesce(found, none).alias("pii_found"))

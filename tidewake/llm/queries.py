@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from tidewake.llm.simhash import fingerprint_hex, near_duplicate_components
 #: The file that op8 and the pipeline take their tokenizer from.
 TOKENIZER = "byte_bpe_50k.json"
 KEEP_QUALITY = 0.3
-#: For tests and trials only; set spark.tidewake.pii.key for real data.
-PII_KEY = "not a secret"
+#: The setting that holds the key of pseudonyms, and the key of trials, which is used with a warning where it is unset.
+PII_SETTING, TRIAL_KEY = "spark.tidewake.pii.key", "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +87,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.tidewake.pii.key", PII_KEY)
-    out = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    key = spark.conf.get(PII_SETTING, None)
+    if not key:
+        warnings.warn(f"{PII_SETTING} is unset: these pseudonyms can be undone by anyone who reads the source", stacklevel=2)
+    out = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key or TRIAL_KEY)
     return out.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"), F.col("pii_found").alias("replaced"))
 
 
