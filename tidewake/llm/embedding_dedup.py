@@ -2,7 +2,7 @@
 
 Two codebooks, one per half of the vectors, form a grid of cells. Each vector
 is a member of its nearest cell and visits its nearest cells in order of summed
-distance, as many as a calibration asks for. A pair meets where one visits the
+distance, up to the distance that a calibration asks for. A pair meets where one visits the
 other's cell, and its cosine is then taken in double precision.
 """
 
@@ -15,43 +15,60 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tidewake.llm._shared import small, written
 from tidewake.llm.components import smallest_of_components
 from tidewake.llm.simhash import _forest
 
-#: Different vectors that the codebooks are fitted on, and members that a cell has on average.
-SAMPLE, PER_CELL, MOST_CENTROIDS = 20_000, 192, 1024
+#: Different vectors that the codebooks are fitted on, for each centroid and at least; centroids of a codebook at most. With
+#: 192 members in a cell that is enough for 12 billion different vectors; beyond them cells grow.
+PER_CENTROID, LEAST_SAMPLE, MOST_CENTROIDS = 20, 20_000, 8192
+#: Members of a cell on average that a grid may have at most, and how many compared members a visit's shuffled row is worth.
+PER_CELL, VISIT_COST = 1024, 1000
 #: Share of pairs at the threshold itself that the traversal is to find; closer pairs are found more often.
 TARGET_RECALL, TRIALS = 0.985, 1500
 #: A task compares this many members with this many visitors at most.
 MEMBERS, VISITORS = 1024, 4096
+#: Distances that are held at once.
+_AT_ONCE = 1 << 22
 
 
 @dataclass
 class MultiIndex:
-    """Centroids of either half, and how many cells a vector visits."""
+    """Centroids of either half; a vector visits cells at most ``margin`` further than its own, ``visits`` at most."""
 
     left: np.ndarray
     right: np.ndarray
     visits: int
+    margin: float = np.inf
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest cells of each unit vector, nearest first.
+    def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n nearest cells of each unit vector, nearest first, and their distances (less the vector's own length).
 
         The multi-sequence order of the grid: with the halves' centroids ranked,
         a cell at ranks (a, b) has (a + 1)(b + 1) - 1 cells at least as near, so
         that only cells with (a + 1)(b + 1) <= n can be among the first n.
         """
         half, k = self.left.shape[1], len(self.right)
-        d = [((h[:, None, :] - c[None]) ** 2).sum(axis=2) for h, c in ((x[:, :half], self.left), (x[:, half:], self.right))]
-        rank = [np.argsort(m, axis=1, kind="stable") for m in d]
-        near = [np.take_along_axis(m, r, axis=1) for m, r in zip(d, rank, strict=True)]
-        a, b = np.meshgrid(np.arange(len(self.left)), np.arange(k), indexing="ij")
-        fits = (a + 1) * (b + 1) <= n
-        a, b = a[fits], b[fits]
-        first = np.argsort(near[0][:, a] + near[1][:, b], axis=1, kind="stable")[:, :n]
-        return (np.take_along_axis(rank[0][:, a], first, axis=1) * k + np.take_along_axis(rank[1][:, b], first, axis=1)).astype(np.int32)
+        reach = [min(k, n // (i + 1)) for i in range(min(len(self.left), n))]
+        a, b = np.repeat(np.arange(len(reach)), reach), np.concatenate([np.arange(r) for r in reach])
+        cells, far = [], []
+        for at in range(0, len(x), max(1, _AT_ONCE // (len(a) + 2 * k))):
+            part = x[at : at + max(1, _AT_ONCE // (len(a) + 2 * k))]
+            d = [(c * c).sum(axis=1) - 2 * h @ c.T for h, c in ((part[:, :half], self.left), (part[:, half:], self.right))]
+            rank = [np.argsort(m, axis=1, kind="stable") for m in d]
+            near = [np.take_along_axis(m, r, axis=1) for m, r in zip(d, rank, strict=True)]
+            sums = near[0][:, a] + near[1][:, b]
+            first = np.argsort(sums, axis=1, kind="stable")[:, :n]
+            cells.append((rank[0][np.arange(len(part))[:, None], a[first]] * k + rank[1][np.arange(len(part))[:, None], b[first]]).astype(np.int32))
+            far.append(np.take_along_axis(sums, first, axis=1))
+        return np.concatenate(cells), np.concatenate(far)
+
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        """Cells that each vector visits, its own first, filled up with -1."""
+        cells, far = self.nearest(x, self.visits)
+        return np.where(far <= far[:, :1] + self.margin, cells, -1).astype("<i4")
 
 
 def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -65,19 +82,39 @@ def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10
     return c
 
 
+def grid_sizes(rows: int) -> list[int]:
+    """Centroids of either codebook that are tried: from the fewest that cells of ``PER_CELL`` members need, by doubling."""
+    low = int(np.clip(np.ceil((rows / PER_CELL) ** 0.5), 1, MOST_CENTROIDS))
+    return sorted({min(low * f, MOST_CENTROIDS) for f in (1, 2, 4)})
+
+
 def fit_index(sample: np.ndarray, rows: int, cosine: float, recall: float = TARGET_RECALL, seed: int = 3) -> MultiIndex:
-    """Codebooks by k-means on sampled unit vectors; visits by pairs at the threshold itself.
+    """Codebooks by k-means on sampled unit vectors; the traversal's margin by pairs at the threshold itself.
+
+    Of the grids tried, the first whose finer neighbour costs more: a visit
+    costs a shuffled row and the comparison with a cell's members.
+    """
+    best, least = None, np.inf
+    for k in grid_sizes(rows):
+        index, mean = _calibrated(sample, min(k, len(sample)), cosine, recall, np.random.default_rng(seed))
+        cost = mean * (VISIT_COST + rows / (len(index.left) * len(index.right)))
+        if cost >= least:
+            break
+        best, least = index, cost
+    return best
+
+
+def _calibrated(sample: np.ndarray, k: int, cosine: float, recall: float, rng: np.random.Generator) -> tuple[MultiIndex, float]:
+    """An index of k centroids a half, and how many cells a vector visits on average.
 
     The calibration turns sampled vectors by exactly the threshold's angle in
-    random directions and takes the least number of visits with which either
-    side reaches the other's cell in ``recall`` of the pairs.
+    random directions and takes the least margin with which either side
+    reaches the other's cell in ``recall`` of the pairs.
     """
-    rng = np.random.default_rng(seed)
-    k = int(np.clip(round((rows / PER_CELL) ** 0.5), 1, min(MOST_CENTROIDS, len(sample))))
     half = sample.shape[1] // 2
     index = MultiIndex(_centroids(sample[:, :half], k, rng), _centroids(sample[:, half:], k, rng), 1)
     if k == 1:
-        return index
+        return index, 1.0
     x = sample[rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)]
     turn = rng.normal(size=x.shape)
     turn -= (turn * x).sum(axis=1, keepdims=True) * x
@@ -85,16 +122,17 @@ def fit_index(sample: np.ndarray, rows: int, cosine: float, recall: float = TARG
     y = cosine * x + np.sqrt(1 - cosine * cosine) * turn
     most = min(k * k, 64)
     while True:
-        order = [index.nearest(v, most) for v in (x, y)]
-        ranks = []
-        for a, b in (order, order[::-1]):
-            hit = a == b[:, :1]
-            ranks.append(np.where(hit.any(axis=1), hit.argmax(axis=1), most))
-        found = np.sort(np.minimum(*ranks))
-        need = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1
-        if need <= most or most == k * k:
-            index.visits = min(need, k * k)
-            return index
+        (cx, dx), (cy, dy) = (index.nearest(v, most) for v in (x, y))
+        needs = []
+        for cells, far, other in ((cx, dx, cy), (cy, dy, cx)):
+            hit = cells == other[:, :1]
+            needs.append(np.where(hit.any(axis=1), far[np.arange(len(far)), hit.argmax(axis=1)] - far[:, 0], np.inf))
+        need = np.sort(np.minimum(*needs))
+        margin = need[min(len(need) - 1, int(np.ceil(recall * len(need))))]
+        inside = (dx <= dx[:, :1] + margin).sum(axis=1)
+        if most == k * k or (np.isfinite(margin) and inside.max() < most):
+            index.margin, index.visits = float(margin), int(inside.max())
+            return index, float(inside.mean())
         most = min(k * k, most * 4)
 
 
@@ -104,13 +142,13 @@ def usable(v: Column) -> Column:
     return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, dtype="<f8") for v in vectors])
+def _units(vectors: pd.Series, kind: str) -> np.ndarray:
+    x = np.stack([np.frombuffer(v, dtype=kind) for v in vectors]).astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components stay in range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], cosine: float, kind: str = "<f8") -> Iterator[pd.DataFrame]:
     """Per key, members come first and then visitors: counts of links by node, and edges that connect what links connect."""
     members: dict | None = None
     cols = ["cell", "mb", "vb"]
@@ -126,14 +164,14 @@ def _compare(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.Data
                 members = {"key": key, "parts": []}
             if len(new):
                 seen = np.stack([np.frombuffer(v, dtype="<i4") for v in new["visited"]])
-                members["parts"].append((new["node"].to_numpy(), new["n"].to_numpy(), _units(new["vec"]), seen))
+                members["parts"].append((new["node"].to_numpy(), new["n"].to_numpy(), _units(new["vec"], kind), seen))
             if not len(asking) or not members["parts"]:
                 continue
             if len(members["parts"]) > 1:
                 members["parts"] = [tuple(np.concatenate(p) for p in zip(*members["parts"], strict=True))]
             node, n, unit, seen = members["parts"][0]
             who, copies, own = (asking[c].to_numpy() for c in ("node", "n", "own"))
-            q, m = np.nonzero(_units(asking["vec"]) @ unit.T >= cosine)
+            q, m = np.nonzero(_units(asking["vec"], kind) @ unit.T >= cosine)
             q, m = (lambda keep: (q[keep], m[keep]))(who[q] != node[m])
             if not len(q):
                 continue
@@ -148,23 +186,22 @@ def _compare(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.Data
             )
 
 
-def _linked(nodes: DataFrame, cosine: float, recall: float) -> DataFrame:
+def _linked(nodes: DataFrame, cosine: float, recall: float, kind: str) -> DataFrame:
     """Counts (b = -1) and forest edges (links = 0) among the rows ``(node, n, vec)`` of one length."""
     spark = nodes.sparkSession
     rows = nodes.count()
-    share = F.pmod(F.xxhash64("vec", F.lit("sample")), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE / max(rows, 1))))
+    wanted = max(LEAST_SAMPLE, PER_CENTROID * grid_sizes(rows)[-1])
+    share = F.pmod(F.xxhash64("vec", F.lit("sample")), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, wanted / max(rows, 1))))
     sample = nodes.where(share).select("vec").orderBy(F.xxhash64("vec")).toPandas()["vec"]
     if not len(sample):
         sample = nodes.select("vec").limit(1).toPandas()["vec"]
-    shared = spark.sparkContext.broadcast(fit_index(_units(sample), rows, cosine, recall))
+    shared = spark.sparkContext.broadcast(fit_index(_units(sample, kind), rows, cosine, recall))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index: MultiIndex = shared.value
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                cells = index.nearest(_units(part["vec"]), index.visits)
-                yield part.assign(own=cells[:, 0], visits=list(cells), visited=[c.tobytes() for c in cells])
+            cells = index.visited(_units(b["vec"], kind))
+            yield b.assign(own=cells[:, 0], visits=[c[c >= 0] for c in cells], visited=[c.tobytes() for c in cells])
 
     schema = "node long, n long, vec binary, own int, visits array<int>, visited binary"
     placed = written(nodes.select("node", "n", "vec").mapInPandas(assign, schema))
@@ -192,7 +229,7 @@ def _linked(nodes: DataFrame, cosine: float, recall: float) -> DataFrame:
     return (
         dealt.repartition(partitions, "cell", "mb", "vb")
         .sortWithinPartitions("cell", "mb", "vb", "role")
-        .mapInPandas(lambda it: _compare(it, cosine), "a long, b long, links long")
+        .mapInPandas(lambda it: _compare(it, cosine, kind), "a long, b long, links long")
     )
 
 
@@ -215,37 +252,29 @@ def embedding_links(
     ``MEMBERS`` by ``VISITORS``; counts and a spanning forest leave the tasks,
     not pairs.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = usable(F.col("v")) & F.col("vec_id").isNotNull()
-    grouped = (
-        base.where(fine)
-        .groupBy("v")
-        .agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    nodes = written(grouped.select("node", "first", "n", "v", _binary(F.col("v")).alias("vec"), F.size("v").alias("dims")))
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "<f4" if isinstance(element, FloatType) else "<f8"
+    v = F.col(vector_col).cast("array<double>")
+    fine = usable(v) & F.col(id_col).isNotNull()
+    base = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), _binary(F.when(fine, v), kind).alias("vec")))
+    grouped = base.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "first", "n", "vec", F.octet_length("vec").alias("dims")))
     found = None
     for r in nodes.select("dims").distinct().orderBy("dims").collect():
-        some = _linked(nodes.where(F.col("dims") == r.dims), cosine, recall)
+        some = _linked(nodes.where(F.col("dims") == r.dims), cosine, recall, kind)
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = base.sparkSession.createDataFrame([], "a long, b long, links long")
     found = written(found)
     counts = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     smallest = smallest_of_components(found.where("b >= 0").select("a", "b").distinct(), nodes.select("node", "first"))
-    linked = written(
-        nodes.select("node", "first", "n")
-        .join(small(written(counts)), "node", "left")
+    linked = (
+        nodes.join(small(written(counts)), "node", "left")
         .join(small(smallest), "node", "left")
         .where("n > 1 OR links IS NOT NULL")
-        .select(
-            "node", "n", "first",
-            (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("smallest", "first").alias("component_id"),
-        )
-    )
-    by_vector = small(written(linked.join(nodes.select("node", "v"), "node").select("v", "n_links", "component_id")))
-    out = base.withColumn("v", F.when(fine, F.col("v"))).join(by_vector, "v", "left")
+        .select("vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "first").alias("component_id"))
+    )
+    out = base.join(small(written(linked)), "vec", "left")
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select(
         "vec_id",
@@ -255,12 +284,12 @@ def embedding_links(
     )
 
 
-def _binary(v: Column) -> Column:
-    """Vector as little-endian doubles."""
+def _binary(v: Column, kind: str) -> Column:
+    """Vector as little-endian floats of its own precision, in which it is exact; minus zero is zero."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            yield pd.Series([np.asarray(x, dtype="<f8").tobytes() for x in vectors], dtype=object)
+            yield pd.Series([None if x is None else (np.asarray(x, dtype=kind) + 0).astype(kind).tobytes() for x in vectors], dtype=object)
 
     return of(v)
