@@ -117,3 +117,39 @@ def test_sentences_shorter_than_the_spacing_still_give_states():
     odd = np.concatenate([np.arange(7, 4000, 7), [4000]])
     cuts = pk.plan_cuts(odd, np.array([4000]), 4000, 64, True)
     assert np.isin(cuts[:-3], odd).all()
+
+
+def unpruned(ends, documents, total, limit):
+    """Least cost over all positions, and where its sequences end."""
+    penalty = np.full(total + 1, pk.SEQUENCE_COST + pk.SENTENCE_COST)
+    penalty[ends] = pk.SEQUENCE_COST + pk.DOCUMENT_COST
+    penalty[documents] = pk.SEQUENCE_COST
+    wasted = np.array([pk.waste(n, limit) for n in range(limit, 0, -1)])
+    best, back = np.zeros(total + 1, np.int64), np.zeros(total + 1, np.int64)
+    for j in range(1, total + 1):
+        low = max(0, j - limit)
+        cost = best[low:j] + wasted[limit - (j - low) :]
+        best[j], back[j] = cost.min() + penalty[j], low + int(cost.argmin())
+    cuts, p = [], total
+    while p:
+        cuts.append(p)
+        p = int(back[p])
+    return int(best[total]), cuts[::-1]
+
+
+def test_the_limits_as_shipped_stay_near_the_unpruned_program():
+    rng = np.random.default_rng(2)
+    documents = np.cumsum(np.clip(rng.lognormal(5.5, 1.1, 150), 5, 20_000).astype(int))
+    total = int(documents[-1])
+    ends = np.unique(np.concatenate([np.cumsum(rng.integers(2, 40, total // 20)), documents]))
+    ends = ends[ends < total]
+    least, best = unpruned(ends, documents, total, 1024)
+    cuts = pk.plan_cuts(ends, documents, total, 1024, True).tolist()
+    cost = padding = inside = 0
+    for a, b in zip([0, *cuts], cuts, strict=False):
+        kind = 0 if b in documents else pk.DOCUMENT_COST if b in ends else pk.SENTENCE_COST
+        padding += pk.waste(b - a, 1024)
+        inside += kind == pk.SENTENCE_COST
+        cost += pk.waste(b - a, 1024) + pk.SEQUENCE_COST + kind
+    assert least <= cost <= 1.35 * least and padding <= 0.012 * total
+    assert inside <= 0.35 * len(cuts) and len(cuts) <= 1.1 * len(best)

@@ -17,21 +17,26 @@ PER_LANGUAGE = 1500
 BUCKETS, DIMS, NGRAMS = 1 << 15, 16, (2, 3, 4)
 #: Share of wrong answers that accepted predictions may have on the calibration rows.
 TOLERATED = 0.005
+#: Bytes of a text that are hashed at once.
 _AT_ONCE = 1 << 20
 
 
-def buckets(text: str) -> np.ndarray:
-    """Hash buckets of all byte n-grams of the lower-cased text, whose white space is single blanks at either end too."""
-    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
-    out = []
-    for n in NGRAMS:
-        if len(b) >= n:
-            h = np.full(len(b) - n + 1, n, dtype=np.uint32)
-            for k in range(n):
-                h = (h ^ b[k : len(b) - n + 1 + k]) * np.uint32(0x01000193)
-            h ^= h >> np.uint32(15)
-            out.append(h % np.uint32(BUCKETS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+def normalised(text: str) -> np.ndarray:
+    """Bytes of the lower-cased text, whose white space is single blanks, at either end too."""
+    return np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), dtype=np.uint8)
+
+
+def buckets(b: np.ndarray) -> Iterator[np.ndarray]:
+    """Hash buckets of all n-grams of some bytes. Parts of ``_AT_ONCE`` overlap, so that none over a cut is lost or counted twice."""
+    for at in range(0, len(b), _AT_ONCE):
+        for n in NGRAMS:
+            part = b[at : at + _AT_ONCE + n - 1].astype(np.uint32)
+            if len(part) >= n:
+                h = np.full(len(part) - n + 1, n, dtype=np.uint32)
+                for k in range(n):
+                    h = (h ^ part[k : len(part) - n + 1 + k]) * np.uint32(0x01000193)
+                h ^= h >> np.uint32(15)
+                yield h % np.uint32(BUCKETS)
 
 
 @dataclass
@@ -46,8 +51,7 @@ class LanguageModel:
 
     def logits(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), _AT_ONCE):
-            h = buckets(text[at : at + _AT_ONCE])
+        for h in buckets(normalised(text)):
             total += self.table[h].sum(axis=0, dtype=np.float64)
             n += len(h)
         return total / max(n, 1) + self.bias
@@ -82,7 +86,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 4) ->
         t = texts[i]
         start, size = int(rng.integers(0, max(1, len(t) - 20))), int(rng.integers(15, 200))
         for piece in (t, t[start : start + size]):
-            h, n = np.unique(buckets(piece), return_counts=True)
+            h, n = np.unique(np.concatenate([*buckets(normalised(piece)), np.zeros(0, np.uint32)]), return_counts=True)
             if len(h):
                 rows.append((h, (n / n.sum()).astype(np.float32)[:, None], y[i]))
     for epoch in range(epochs):
@@ -113,7 +117,12 @@ def fit(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 4) ->
 
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """Model fitted on a bounded sample of ``docs`` (id, label, text); None if no row has a label and a text."""
+    """Model fitted on a bounded sample of ``docs`` (id, label, text); None if no row has a label and a text.
+
+    Rows without an id, a label or a text are left out; rows that repeat an id
+    are in the sample together or not at all, each with its own label. Empty
+    texts have no n-gram and only count for the calibration.
+    """
     table, _ = labelled_sample(docs.where("text IS NOT NULL"), None, per_language)
     return fit(table["text"].to_pylist(), table["label"].to_pylist()) if len(table) else None
 
@@ -123,7 +132,9 @@ def language_of(text: Column, model: LanguageModel | None, spark) -> Column:
 
     ``und``, with score 0 and not accepted, if the text is null or has no
     letter, or if nothing was learned. Else always a learned language;
-    ``accepted`` says whether its score reaches the calibrated bound.
+    ``accepted`` says whether its score reaches the calibrated bound. Of
+    languages with equal scores the first by name is taken; equal texts get
+    equal answers; no rows give no rows.
     """
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     if model is None:

@@ -281,7 +281,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``limit`` (a power of two) tokens.
 
-    Columns: doc_id, start (ids of the document before the piece), length,
+    Ids are integers (a string is read as one; what is none raises). Columns: doc_id,
+    start (ids of the document before the piece), length,
     ids_crc32 (of the piece's little-endian unsigned 32-bit ids), doc_tokens,
     sequence_id, offset (in the sequence, gapless from 0), and with
     ``with_ids`` the ids themselves. A document is its text's ids and then

@@ -158,7 +158,12 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, seed: int = 7,
 
 
 def fit_quality(labels: DataFrame, docs: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    """Model fitted on a bounded sample of labelled rows: ``labels`` (id, label 0 or 1) and ``docs`` (id, text)."""
+    """Model fitted on a bounded sample of labelled rows: ``labels`` (id, label 0 or 1) and ``docs`` (id, text).
+
+    Rows without an id or a label are left out, a null text counts as empty,
+    and rows that repeat an id each count. With one label, or no labelled row
+    at all, the model's score is that label's share or one half.
+    """
     table, sizes = labelled_sample(labels, docs, per_class)
     texts = [t or "" for t in table["text"].to_pylist()]
     y = np.array(table["label"].to_pylist(), dtype=np.int64)
@@ -173,7 +178,11 @@ def fit_quality(labels: DataFrame, docs: DataFrame, per_class: int = PER_CLASS)
 
 
 def quality_score(text: Column, model: QualityModel, spark) -> Column:
-    """Probability of label 1 of each whole text; null counts as empty. The model is broadcast; its size is bounded."""
+    """Probability of label 1 of each whole text. The model is broadcast; its size is bounded.
+
+    A null text counts as empty, and an empty one has the score of no token at
+    all. Equal texts get equal scores; no rows give no rows.
+    """
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
