@@ -67,28 +67,42 @@ def fingerprints(text):
 
 
 def brute(rows):
-    """Deleted words of each (id, text): every later fingerprint is extended against the first one by itself."""
+    """Deleted words of each (id, text): later fingerprints make runs, and a run's ends are extended against their first occurrence."""
     docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
     known = {d: fingerprints(d[1]) for d in docs}
     first = {}
     for d in docs:
-        for h, p, n, lines in sorted(known[d][2], key=lambda x: x[1]):
+        for h, p, _, _ in sorted(known[d][2], key=lambda x: x[1]):
             first.setdefault(h, (d, p))
     gone = {}
     for d in docs:
         words, bounds, found = known[d]
+        later = []
         for h, p, n, lines in found:
             d0, p0 = first[h]
-            if (d0, p0) == (d, p) or (d0 == d and p < p0 + n):
-                continue
-            other = known[d0][0]
-            low, high, floor = p, p + n, p0 + n if d0 == d else 0
-            while low > max(floor, p - 50) and low - p + p0 > 0 and words[low - 1] == other[low - 1 - p + p0]:
+            if d0 != d or p >= p0 + n:
+                later.append((p, n, h - (1 << 64) * (h >> 63), lines, h))
+        runs = []
+        for x in sorted(later):
+            if runs and x[0] <= max(p + n for p, n, *_ in runs[-1]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for run in runs:
+            p, n, _, lines, h = min(run)
+            d0, p0 = first[h]
+            low, floor, other = p, p0 + n if d0 == d else 0, known[d0][0]
+            while low > max(floor, p - (50 if lines else 27)) and low - p + p0 > 0 and words[low - 1] == other[low - 1 - p + p0]:
                 low -= 1
-            while high < min(len(words), p + n + 50) and high - p + p0 < len(other) and words[high] == other[high - p + p0]:
+            if lines:
+                low = min(b for b in bounds if b >= low)
+            p, n, _, lines, h = max(run, key=lambda x: (x[0] + x[1], *x))
+            d0, p0 = first[h]
+            high, end, other = p + n, p + n + (50 if lines else 27), known[d0][0]
+            while high < min(len(words), end) and high - p + p0 < len(other) and words[high] == other[high - p + p0]:
                 high += 1
             if lines:
-                low, high = min(b for b in bounds if b >= low), max(b for b in bounds if b <= high)
+                high = max(b for b in bounds if b <= high)
             gone.setdefault(d, set()).update(range(low, high))
     return gone
 
@@ -186,10 +200,11 @@ def test_very_long_texts_and_many_lines(spark):
     assert got[2].text == words and got[3].text == "end"
 
 
-def test_equal_hashes_of_different_words_delete_nothing(spark, monkeypatch):
-    run_of = {"s": 0, "last": 2, "first_n": 3, "last_n": 3, "own": b"a b x", "last_own": b"c d e", "left": b"", "right": b"", "floor": 0, "lines": False}
-    assert line_dedup.extended("a b c d e f", [run_of]) == ("a b c d e f", [])
-    assert line_dedup.extended("a b c d e f", [run_of | {"own": b"a b c"}]) == ("f", [(0, 5)])
+def test_equal_hashes_of_different_words_delete_nothing():
+    run_of = {"s": 0, "last": 2, "first_n": 3, "last_n": 3, "own": b"a b x", "last_own": b"c d e", "left": b"", "right": b"", "floor": 0, "first_lines": False, "last_lines": False}
+    assert line_dedup.extended("a b c d e f", [run_of]) == []
+    assert line_dedup.extended("a b c d e f", [run_of | {"own": b"a b c"}]) == [(0, 5)]
+    assert line_dedup.without("a b c  d e f", [(0, 5)]) == "f" and line_dedup.without(" a\nb c ", [(1, 3)]) == " a"
 
 
 def test_empty_table(spark):

@@ -18,10 +18,8 @@ GRAM_LINES, WINDOW_LINES = 2, 2
 GRAM_WORDS, WINDOW_WORDS = 24, 27
 #: Words of the shortest passage that certainly holds a selected word gram. Line grams are shorter than this.
 PASSAGE_WORDS = GRAM_WORDS + WINDOW_WORDS - 1
-#: Words to either side of a fingerprint that a match may be extended by; beyond them lies the next fingerprint.
-REACH = PASSAGE_WORDS
 #: Bytes of text that are hashed at once, if a text isn't longer.
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -153,14 +151,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What stands before, in and after each asked fingerprint of a text, words joined by blanks."""
+    """What stands before, in and after each asked fingerprint of a text, as far as the next one may be; words joined by blanks."""
     for b in batches:
         rows = []
         for text, asked in zip(b["text"], b["asked"], strict=True):
             w = text.encode("utf-8", "replace").split()
             for a in asked:
-                p, n = a["p"], a["n"]
-                rows.append((a["fp"], *(b" ".join(x) for x in (w[max(0, p - REACH) : p], w[p : p + n], w[p + n : p + n + REACH]))))
+                p, end = a["p"], a["p"] + a["n"]
+                reach = PASSAGE_WORDS if a["lines"] else WINDOW_WORDS
+                rows.append((a["fp"], *(b" ".join(x) for x in (w[max(0, p - reach) : p], w[p:end], w[end : end + reach]))))
             if len(rows) > 10_000:
                 yield pd.DataFrame(rows, columns=["fp", "left", "own", "right"])
                 rows = []
@@ -173,31 +172,35 @@ def _agree(a: list[bytes], b: list[bytes]) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def extended(text: str, runs: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its repeated runs, and the word ranges that are gone.
+def _word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and the first words of lines and the number of words."""
+    a = np.frombuffer(data, dtype=np.uint8)
+    edge = np.diff((~_BLANK[a]).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return starts, ends, np.append(np.flatnonzero(np.diff(np.cumsum(a == 10)[starts], prepend=-1)), len(starts))
+
+
+def extended(text: str, runs: list[dict]) -> list[tuple[int, int]]:
+    """Word ranges of the repeated runs of a text.
 
-    A run has the places of its first and last fingerprint, the lengths of
-    these, and what stands there in the first occurrence. It counts if the
+    A run has its first and last fingerprint's place and length, and what
+    stands there, before and after in their first occurrence. It counts if the
     words of both are equal, and is extended to either side as far as words
-    agree; a run of lines by whole lines.
+    agree; from a line gram by whole lines.
     """
     data = text.encode("utf-8", "replace")
-    a = np.frombuffer(data, dtype=np.uint8)
-    edge = np.diff((~_BLANK[a]).astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    words = data.split()
-    lines = np.append(np.flatnonzero(np.diff(np.cumsum(a == 10)[starts], prepend=-1)), len(words))
-    gone = []
+    words, lines = data.split(), _word_bounds(data)[2]
+    gone: list[tuple[int, int]] = []
     for r in runs:
-        s, last = r["s"], r["last"]
-        e = last + r["last_n"]
+        s, last, e = r["s"], r["last"], r["last"] + r["last_n"]
         if b" ".join(words[s : s + r["first_n"]]) != r["own"] or b" ".join(words[last:e]) != r["last_own"]:
             continue  # equal hashes of different words
         left, right = r["left"].split(), r["right"].split()
         low = s - _agree(words[max(r["floor"], s - len(left)) : s][::-1], left[::-1])
         high = e + _agree(words[e : e + len(right)], right)
-        if r["lines"]:
+        if r["first_lines"]:
             low = int(lines[np.searchsorted(lines, low)])
+        if r["last_lines"]:
             high = int(lines[np.searchsorted(lines, high, "right") - 1])
         gone.append((low, high))
     merged: list[tuple[int, int]] = []
@@ -206,74 +209,92 @@ def extended(text: str, runs: list[dict]) -> tuple[str, list[tuple[int, int]]]:
             merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
         else:
             merged.append((low, high))
+    return merged
+
+
+def _extensions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        got = [extended(t, list(r)) for t, r in zip(b["text"], b["runs"], strict=True)]
+        gone = pd.Series([[{"first": f, "end": e} for f, e in g] for g in got], dtype=object, index=b.index)
+        yield pd.DataFrame({"doc": b["doc"], "tag": b["tag"], "gone": gone})
+
+
+def without(text: str, gone: list[tuple[int, int]]) -> str:
+    """The text without some word ranges, and without what follows them up to the next word, or precedes them at the end."""
+    data = text.encode("utf-8", "replace")
+    starts, ends, _ = _word_bounds(data)
     kept, at = [], 0
-    for low, high in merged:
-        to_end = high == len(words)
+    for low, high in gone:
+        to_end = high == len(starts)
         cut = (int(ends[low - 1]) if low else 0) if to_end else int(starts[low])
         kept.append(data[at:cut])
         at = len(data) if to_end else int(starts[high])
-    kept.append(data[at:])
-    return b"".join(kept).decode("utf-8", "replace"), merged
+    return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
 
 
-def _without(text: Column, runs: Column) -> Column:
-    """Struct of the text without the runs and the word ranges that are gone; null where there are no runs."""
+def _without(text: Column, gone: Column) -> Column:
+    """``without`` as a column; null where there are no ranges."""
 
-    @F.pandas_udf("text string, gone array<struct<first int, end int>>")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, given in batches:
-            out = [(None, None) if r is None else extended(t, list(r)) for t, r in zip(texts, given, strict=True)]
-            gone = [x[1] if x[1] is None else [{"first": f, "end": e} for f, e in x[1]] for x in out]
-            yield pd.DataFrame({"text": pd.Series([x[0] for x in out], dtype=object), "gone": pd.Series(gone, dtype=object)})
+            yield pd.Series([None if g is None else without(t, [(r["first"], r["end"]) for r in g]) for t, g in zip(texts, given, strict=True)], dtype=object)
 
-    return of(F.when(runs.isNotNull(), text), runs)
+    return of(F.when(gone.isNotNull(), text), gone)
 
 
 # --- operator ---------------------------------------------------------------
 
 
 def repeated_runs(base: DataFrame) -> DataFrame:
-    """Runs of the texts of ``base`` (doc, tag, text) that repeat earlier ones, not yet extended: an array for each document.
-
-    Places of selected fingerprints are joined with the fingerprint's first
-    place, a pre-aggregated minimum, so no pairs of occurrences are made.
-    Fingerprints that follow each other at one distance from their first
-    places are one run. Only the two at its ends bring the first occurrence's
-    words along, to be compared and extended.
+    """``(doc, tag, gone)``: word ranges of the texts of ``base`` (doc, tag, text) that repeat earlier ones.
+
+    Fingerprints that occur once are dropped by a count of hashes alone. The
+    places of the others are joined with the fingerprint's first place, a
+    pre-aggregated minimum, so no pairs of occurrences are made. What of a
+    document's later occurrences overlaps or adjoins is one run. Only the two
+    fingerprints at a run's ends bring the words of their first occurrence
+    along, to be compared and extended.
     """
     doc_type = base.schema["doc"].dataType.simpleString()
     found = written(base.mapInArrow(_fingerprints, f"fp long, doc {doc_type}, tag long, p int, n int, lines boolean"))
-    place = F.struct("doc", "tag", "p", "n")
-    first = written(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp", "a"))
+    often = written(found.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1").select("fp"))
+    near = written(found.join(small(often), "fp", "left_semi"))
+    first = written(near.groupBy("fp").agg(F.min(F.struct("doc", "tag", "p", "n", "lines")).alias("a")))
     same = (F.col("doc") == F.col("a.doc")) & (F.col("tag") == F.col("a.tag"))
-    later = found.join(small(first), "fp").where(~same | (F.col("p") >= F.col("a.p") + F.col("a.n")))
-    of_run = ["doc", "tag", "lines", "first_doc", "first_tag", "lag"]
-    later = later.select(
-        "fp", "doc", "tag", "p", "n", "lines", F.col("a.doc").alias("first_doc"), F.col("a.tag").alias("first_tag"),
-        (F.col("p") - F.col("a.p")).alias("lag"), F.when(same, F.col("a.p") + F.col("a.n")).otherwise(0).alias("floor"),
-    )
-    in_order = Window.partitionBy(*of_run).orderBy("p", "n")
+    beyond = F.col("a.p") + F.col("a.n")
+    later = near.join(small(first), "fp").where(~same | (F.col("p") >= beyond))
+    later = later.select("doc", "tag", "fp", "p", "n", "lines", F.when(same, beyond).otherwise(0).alias("floor"))
+
+    in_order = Window.partitionBy("doc", "tag").orderBy("p", "n", "fp")
     reached = F.max(F.col("p") + F.col("n")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = later.withColumn("new", F.when(F.col("p") <= reached, 0).otherwise(1))
-    islands = islands.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    later = later.withColumn("new", F.when(F.col("p") <= reached, 0).otherwise(1))
+    later = later.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = written(
-        islands.groupBy(*of_run, "run")
-        .agg(F.min(F.struct("p", "n", "fp", "floor")).alias("x"), F.max(F.struct("p", "n", "fp")).alias("y"))
+        later.groupBy("doc", "tag", "run")
+        .agg(
+            F.min(F.struct("p", "n", "fp", "lines", "floor")).alias("x"),
+            F.max(F.struct((F.col("p") + F.col("n")).alias("end"), "p", "n", "fp", "lines")).alias("y"),
+        )
         .select(
-            "doc", "tag", "lines", F.col("x.p").alias("s"), F.col("x.n").alias("first_n"), F.col("x.floor").alias("floor"), F.col("x.fp").alias("from_fp"),
-            F.col("y.p").alias("last"), F.col("y.n").alias("last_n"), F.col("y.fp").alias("to_fp"),
+            "doc", "tag", F.col("x.fp").alias("from_fp"), F.col("x.p").alias("s"), F.col("x.n").alias("first_n"), F.col("x.lines").alias("first_lines"),
+            F.col("x.floor").alias("floor"), F.col("y.fp").alias("to_fp"), F.col("y.p").alias("last"), F.col("y.n").alias("last_n"), F.col("y.lines").alias("last_lines"),
         )
     )
 
     ends = written(runs.select(F.col("from_fp").alias("fp")).unionByName(runs.select(F.col("to_fp").alias("fp"))).distinct())
-    asked = first.join(small(ends), "fp").groupBy(F.col("a.doc").alias("doc"), F.col("a.tag").alias("tag"))
-    asked = written(asked.agg(F.collect_list(F.struct("fp", F.col("a.p").alias("p"), F.col("a.n").alias("n"))).alias("asked")))
-    around = base.join(small(asked), ["doc", "tag"]).select("text", "asked").mapInPandas(_contexts, "fp long, left binary, own binary, right binary")
-    around = small(written(around.dropDuplicates(["fp"])))
-    whole = runs.join(around.withColumnRenamed("fp", "from_fp").drop("right"), "from_fp").join(
+    asked = first.join(small(ends), "fp").select("fp", "a.*").groupBy("doc", "tag").agg(F.collect_list(F.struct("fp", "p", "n", "lines")).alias("asked"))
+    around = base.join(small(written(asked)), ["doc", "tag"]).select("text", "asked")
+    around = written(around.mapInPandas(_contexts, "fp long, left binary, own binary, right binary").dropDuplicates(["fp"]))
+    around = small(around)
+    whole = runs.join(around.select(F.col("fp").alias("from_fp"), "left", "own"), "from_fp").join(
         around.select(F.col("fp").alias("to_fp"), F.col("own").alias("last_own"), "right"), "to_fp"
     )
-    return written(whole.groupBy("doc", "tag").agg(F.collect_list(F.struct(*[c for c in whole.columns if c not in ("doc", "tag", "from_fp", "to_fp")])).alias("runs")))
+    of_doc = whole.groupBy("doc", "tag").agg(F.collect_list(F.struct(*[c for c in whole.columns if c not in ("doc", "tag", "from_fp", "to_fp")])).alias("runs"))
+    hit = small(written(runs.select("doc", "tag").distinct()))
+    texts = base.join(hit, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    compared = texts.join(small(written(of_doc)), ["doc", "tag"]).mapInPandas(_extensions, f"doc {doc_type}, tag long, gone array<struct<first:int,end:int>>")
+    return written(compared.where(F.size("gone") > 0))
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,9 +310,10 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
       gram, and all of it unless another text had a part of it still earlier.
 
     Shorter runs, of two lines or of ``GRAM_WORDS`` words, go if their hash was
-    selected. Nothing goes whose words aren't compared with those of the first
-    occurrence: hashes only propose. Words are equal if their bytes are; what
-    separates them isn't compared.
+    selected. The words at both ends of a run are compared with those of the
+    first occurrence before it goes: a hash alone decides only on a gram that
+    lies between such ends. Words are equal if their bytes are; what separates
+    them isn't compared.
 
     Texts without such a run, empty and null ones stay as they are. A row with
     a null id stays and counts as no occurrence. Rows that repeat an id and a
@@ -302,14 +324,9 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text, of = F.col(text_col).cast("string"), F.col(id_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of.alias("doc"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
     base = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "tag", "text")
-    runs = small(repeated_runs(base))
-    rows = rows.join(runs, ["doc", "tag"], "left")
-    out = rows.select("row", "runs", _without(F.col("text"), F.col("runs")).alias("got"))
-    hit = F.col("got.gone").isNotNull()
-    own = [
-        F.when(hit, F.col("got.text")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns
-        if c != "ld_deleted"
-    ]
+    rows = rows.join(small(repeated_runs(base)), ["doc", "tag"], "left")
+    out = rows.select("row", "gone", _without(F.col("text"), F.col("gone")).alias("new"))
+    new = F.when(F.col("gone").isNotNull(), F.col("new")).otherwise(F.col(f"row.`{text_col}`"))
+    own = [(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "ld_deleted"]
     none = F.array().cast("array<struct<first:int,end:int>>")
-    return out.select(*own, F.coalesce("got.gone", none).alias("ld_deleted"))
+    return out.select(*own, F.coalesce("gone", none).alias("ld_deleted"))
