@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -101,3 +102,43 @@ def test_profile_and_reflection(spark):
     assert {(r.id, r.total) for r in old} == {("v0:assert", 4), ("v1:assert", 4), ("v2:assert", 4)}
     audited = spark.createDataFrame([("none",)], "summary_fact_id string")
     assert ids(st.orphan_reflections(f, audited)) == {"v2:assert"}
+
+
+def test_ancestors_match_a_plain_walk_over_merges(spark):
+    r = random.Random(3)
+    edges = [(i, i - 1) for i in range(1, 60)] + [(i, r.randrange(i)) for i in range(5, 60, 4)] + [(70, 69), (5, None)]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).update({b} - {None})
+    parents = spark.createDataFrame(edges, "tx_id long, parent_tx_id long")
+    for starts in ([59], [0], [70, 7], [999]):
+        want, todo = set(), list(starts)
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want.add(x)
+                todo += up.get(x, ())
+        got = st.ancestors(parents, spark.createDataFrame([(s,) for s in starts], "id long")).collect()
+        assert sorted(x.id for x in got) == sorted(want)
+    assert st.ancestors(parents.limit(0), spark.createDataFrame([(4,), (4,)], "id long")).collect() == [(4,)]
+
+
+def test_null_fields_have_ids_of_their_own_and_repeated_facts_keep_one_whole_row(spark):
+    rows = spark.createDataFrame([("a", None, "b", "x"), ("a", "b", None, "x"), ("a", "b", "x", None)], "e string, a string, v string, o string")
+    assert rows.select(st.fact_id(F.col("e"), F.col("a"), F.col("v"), F.col("o")).alias("i")).distinct().count() == 3
+    schema = "id string, entity_id string, attribute string, value string, op string, tx_id long, redacted boolean"
+    new = spark.createDataFrame([("f", "e", "a", "v", "assert", 2, True, 5), ("f", "e", "a", "v", "assert", 1, False, 5)], schema + ", ts long")
+    kept = st.remember(spark.createDataFrame([], schema), new.repartition(3)).collect()
+    assert [(k.tx_id, k.redacted) for k in kept] == [(1, False)]
+
+
+def test_fork_merge_and_restore_change_nothing_where_they_do_not_apply(spark):
+    tx = spark.createDataFrame([(1, "m", 1, False), (2, "x", 2, True)], "id long, branch_id string, ts long, archived boolean")
+    br = spark.createDataFrame([("m", "main", 1, "active", 1), ("x", "x", 2, "abandoned", 2)], "id string, name string, head_tx_id long, state string, created_at long")
+    up = spark.createDataFrame([], "tx_id long, parent_tx_id long")
+    for graph in (st.fork(tx, br, up, "x", "m", 9, F.lit(9).cast("long")), st.fork(tx, br, up, "y", "x", 9, F.lit(9).cast("long")), st.merge(tx, br, up, "x", "m", 9, F.lit(9).cast("long"))):
+        assert [g.count() for g in graph] == [2, 2, 0] and {r.state for r in graph[1].collect()} == {"active", "abandoned"}
+    branches, rows = st.restore(br, tx, "x")
+    assert {r.state for r in branches.collect()} == {"active"} and not any(r.archived for r in rows.collect())
+    branches, rows = st.restore(br, tx, "m")
+    assert sorted(r.archived for r in rows.collect()) == [False, True]

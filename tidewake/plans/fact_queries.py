@@ -16,7 +16,6 @@ from tidewake.operators import facts as store
 from tidewake.plans.graph_views import table
 
 
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("user_id").orderBy("tx_id")
     rows = table(spark, sf_dir, "events").select(
@@ -95,9 +94,12 @@ def fact_recall(spark, sf_dir):
 
 
 def fact_as_of(spark, sf_dir):
-    """Facts as of each user's middle transaction."""
+    """Facts as of each user's middle transaction, by number; of an even count the earlier of the two."""
     v = views(spark, sf_dir)
-    starts = v["transactions"].where("id % 50 = 0").select("id")
+    of_user = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"))
+    e = e.select("id", F.row_number().over(of_user.orderBy("id")).alias("k"), F.count("*").over(of_user).alias("n"))
+    starts = e.where("k = (n + 1) div 2").select("id")
     return _seen(v, store.ancestors(v["parents"], starts)).select("id", "entity_id", "visible_ts")
 
 
@@ -137,11 +139,81 @@ def reflect_orphans(spark, sf_dir):
     return store.orphan_reflections(v["facts"], audited)
 
 
+def _at(v: dict[str, DataFrame]):
+    return F.lit("2030-01-01 00:00:00").cast(v["transactions"].schema["ts"].dataType)
+
+
+def fact_branch_merge(spark, sf_dir):
+    """What is current on br_1 after br_2 was forked to br_9, and br_9 merged into br_1."""
+    v = views(spark, sf_dir)
+    graph = v["transactions"], v["branches"], v["parents"]
+    graph = store.fork(*graph, "br_9", "br_2", -1, _at(v))
+    transactions, branches, parents = store.merge(*graph, "br_9", "br_1", -2, _at(v))
+    head = branches.where("id = 'br_1'").select(F.col("head_tx_id").alias("id"))
+    scope = store.ancestors(parents, head)
+    now = store.current(store.visible(v["facts"], transactions, v["provenance"], scope))
+    return now.select("id", "entity_id", "visible_ts")
+
+
+def branch_states(spark, sf_dir):
+    """Branches after a fork, a merge of the fork, and the return of the abandoned branch; with the transactions of each that are open."""
+    v = views(spark, sf_dir)
+    graph = store.fork(v["transactions"], v["branches"], v["parents"], "br_9", "br_2", -1, _at(v))
+    transactions, branches, _ = store.merge(*graph, "br_9", "br_1", -2, _at(v))
+    gone = branches.where("state = 'abandoned'").select(F.col("id").alias("branch_id"))
+    shut = transactions.join(gone.withColumn("gone", F.lit(True)), "branch_id", "left")
+    shut = shut.withColumn("archived", F.col("archived") | F.coalesce("gone", F.lit(False))).select(*transactions.columns)
+    branches, transactions = store.restore(branches, shut, "br_3")
+    opened = transactions.where("NOT archived").groupBy(F.col("branch_id").alias("id")).agg(F.count("*").alias("n_open"))
+    return branches.join(opened, "id").select("id", "state", "head_tx_id", "n_open")
+
+
+def facts_rejected(spark, sf_dir):
+    """Facts that may not be remembered, where every tenth lacks an entity and some cite or supersede wrongly."""
+    v = views(spark, sf_dir)
+    new = v["facts"].select(
+        "id", F.when(F.col("tx_id") % 30 == 0, " ").otherwise(F.col("entity_id")).alias("entity_id"), "attribute",
+        F.when(F.col("tx_id") % 31 == 0, "forget").otherwise(F.col("op")).alias("op"),
+    )
+    p = v["provenance"]
+    edges = p.select("fact_id", F.when(F.col("tx_id") % 50 == 0, F.col("fact_id")).otherwise(F.col("source_fact_id")).alias("source_fact_id"), "kind")
+    more = p.where("tx_id % 35 = 0").select("fact_id", "source_fact_id", F.lit("cites").alias("kind"))
+    return store.rejected(new, edges.unionByName(more))
+
+
+def facts_retracted(spark, sf_dir):
+    """Retractions of every current purchase."""
+    v = views(spark, sf_dir)
+    now = store.current(_seen(v, _all(v)))
+    return store.retract(now, now.where("attribute = 'purchase'")).select("id", "entity_id", "op")
+
+
+def fact_semantic(spark, sf_dir):
+    """The best forty of all facts not shadowed by a score that their ids make."""
+    v = views(spark, sf_dir)
+    scores = v["facts"].select("id", F.conv(F.substring("id", 1, 6), 16, 10).cast("double").alias("score"))
+    out = store.semantic_recall(_seen(v, _all(v)), scores, 40)
+    return out.select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def reflect_persisted(spark, sf_dir):
+    """Summary facts and the number of their sources, and what a second run would add."""
+    v = views(spark, sf_dir)
+    last = v["transactions"].agg((F.max("ts") - F.expr("INTERVAL 10 DAYS")).alias("before"))
+    now = store.current(_seen(v, _all(v))).crossJoin(F.broadcast(last))  # one row
+    candidates = store.reflection_candidates(now, F.col("before"))
+    made, audit = store.reflections(candidates, v["facts"])
+    again = store.reflections(candidates, made)[0].select("id", F.lit(True).alias("again"))
+    sources = audit.groupBy(F.col("summary_fact_id").alias("id")).agg(F.count("*").alias("n_sources"))
+    out = made.join(sources, "id").join(again, "id", "left")
+    return out.select("id", "entity_id", "value", "n_sources", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fact_log, facts_current, facts_not_shadowed, facts_superseded, fact_recall, fact_as_of, fact_trace, fact_profile,
-        branch_gc, reflect_candidates, reflect_orphans,
+        branch_gc, reflect_candidates, reflect_orphans, fact_branch_merge, branch_states, facts_rejected, facts_retracted, fact_semantic, reflect_persisted,
     )
 }
 
@@ -178,7 +250,7 @@ ORACLES = {
     "QUALIFY row_number() OVER (PARTITION BY entity_id, attribute, value ORDER BY own_ts DESC, id) = 1 AND op = 'assert'",
     "facts_superseded": f"WITH {_VIEWS}, {_ALL} SELECT id FROM hidden",
     "fact_recall": f"WITH {_VIEWS}, {_BRANCH} SELECT id, entity_id, visible_ts FROM now WHERE id NOT IN (SELECT id FROM hidden) ORDER BY visible_ts DESC, id LIMIT 100",
-    "fact_as_of": f"WITH RECURSIVE {_VIEWS}, past(id) AS (SELECT id FROM transactions WHERE id % 50 = 0 UNION SELECT before_tx FROM past JOIN b ON b.tx_id = past.id "
+    "fact_as_of": f"WITH RECURSIVE {_VIEWS}, mid AS (SELECT tx_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY tx_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e), past(id) AS (SELECT id FROM mid WHERE k = (n + 1) // 2 UNION SELECT before_tx FROM past JOIN b ON b.tx_id = past.id "
     f"WHERE before_tx IS NOT NULL), {_PAST} SELECT id, entity_id, visible_ts FROM shown",
     "fact_trace": f"WITH RECURSIVE {_VIEWS}, g AS (SELECT DISTINCT fact_id, source_fact_id FROM provenance WHERE tx_id IN (SELECT id FROM transactions WHERE NOT archived)), "
     "t(start, id, depth) AS (SELECT DISTINCT fact_id, fact_id, 0 FROM provenance UNION SELECT start, source_fact_id, depth + 1 FROM t JOIN g ON fact_id = t.id WHERE depth < 5) "
@@ -193,4 +265,24 @@ ORACLES = {
     "reflect_candidates": f"WITH {_VIEWS}, {_ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY visible_ts, id) AS rn, count(*) OVER (PARTITION BY entity_id) AS total "
     "FROM now WHERE visible_ts < (SELECT max(ts) FROM transactions) - INTERVAL 10 DAY) SELECT entity_id, id, rn, total FROM o WHERE rn <= 50 AND total >= 2",
     "reflect_orphans": f"WITH {_VIEWS} SELECT id FROM facts WHERE attribute = 'reflection' AND tx_id % 2 <> 0",
+    "fact_branch_merge": f"WITH RECURSIVE {_VIEWS}, heads AS (SELECT branch_id, max(id) AS h FROM transactions GROUP BY branch_id), "
+    f"past(id) AS (SELECT h FROM heads WHERE branch_id IN ('br_1', 'br_2') UNION SELECT before_tx FROM past JOIN b ON b.tx_id = past.id WHERE before_tx IS NOT NULL), {_PAST} "
+    "SELECT id, entity_id, visible_ts FROM now",
+    "branch_states": f"WITH {_VIEWS}, h AS (SELECT branch_id AS id, max(id) AS head_tx_id, count(*) FILTER (WHERE NOT archived) AS n, count(*) AS n_all FROM transactions GROUP BY branch_id) "
+    "SELECT id, 'active' AS state, CASE id WHEN 'br_1' THEN -2 ELSE head_tx_id END AS head_tx_id, CASE id WHEN 'br_1' THEN n + 1 WHEN 'br_3' THEN n_all ELSE n END AS n_open FROM h "
+    "UNION ALL SELECT 'br_9', 'merged', -1, 1",
+    "facts_rejected": f"WITH {_VIEWS}, p AS (SELECT fact_id, CASE WHEN tx_id % 50 = 0 THEN fact_id ELSE source_fact_id END AS source_fact_id, kind FROM provenance "
+    "UNION ALL SELECT fact_id, source_fact_id, 'cites' FROM provenance WHERE tx_id % 35 = 0) "
+    "SELECT id, CASE WHEN tx_id % 30 = 0 THEN 'unnamed' ELSE 'unknown op' END AS reason FROM facts WHERE tx_id % 30 = 0 OR tx_id % 31 = 0 "
+    "UNION SELECT fact_id, 'supersedes itself' FROM p WHERE fact_id = source_fact_id AND kind = 'supersedes' "
+    "UNION SELECT fact_id, 'evidence that it supersedes' FROM p GROUP BY fact_id, source_fact_id HAVING count(DISTINCT kind) > 1",
+    "facts_retracted": f"WITH {_VIEWS}, {_ALL} SELECT DISTINCT sha256(entity_id || chr(31) || attribute || chr(31) || value || chr(31) || 'retract') AS id, entity_id, 'retract' AS op "
+    "FROM now WHERE attribute = 'purchase'",
+    "fact_semantic": f"WITH {_VIEWS}, {_ALL}, u AS (SELECT id, own_ts, CAST(('0x' || left(id, 6))::BIGINT AS DOUBLE) AS score FROM (SELECT * FROM seen WHERE own_ts IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY entity_id, attribute, value ORDER BY own_ts DESC, id) = 1 AND op = 'assert')) "
+    "SELECT id, score, row_number() OVER (ORDER BY score DESC, own_ts DESC, id) AS rank FROM u QUALIFY row_number() OVER (ORDER BY score DESC, own_ts DESC, id) <= 40",
+    "reflect_persisted": f"WITH {_VIEWS}, {_ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY visible_ts, id) AS rn, count(*) OVER (PARTITION BY entity_id) AS total "
+    "FROM now WHERE visible_ts < (SELECT max(ts) FROM transactions) - INTERVAL 10 DAY), "
+    "m AS (SELECT entity_id, count(*) AS n, CAST(count(*) AS VARCHAR) || ' facts ' || sha256(string_agg(id, ',' ORDER BY rn)) AS value FROM o WHERE rn <= 50 AND total >= 2 GROUP BY entity_id) "
+    "SELECT sha256(entity_id || chr(31) || 'reflection' || chr(31) || value || chr(31) || 'assert') AS id, entity_id, value, n AS n_sources, false AS again FROM m",
 }

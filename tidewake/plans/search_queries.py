@@ -45,9 +45,9 @@ def quantised_vectors(spark, sf_dir):
 
 
 def vector_nearest(spark, sf_dir):
+    """The ten nearest of its label for every vector whose id is divisible by 20."""
     rows = _vectors(spark, sf_dir)
-    first = rows.groupBy("model").agg(F.min_by("id", "id").alias("query"), F.min_by("vector", "id").alias("vector"))
-    out = vec.nearest(rows, first, 10)
+    out = vec.nearest(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query"), 10)
     return out.select("query", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -93,8 +93,8 @@ def document_tokens(spark, sf_dir):
 
 
 def document_mentions(spark, sf_dir):
-    """Documents that mention a market segment or an event type as a whole word."""
-    names = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("name")).where("char_length(name) >= 12").distinct()
+    """How many documents mention a word of the benchmark as a whole word, and the first of them."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("name")).distinct()
     found = tx.mentions(_docs(spark, sf_dir).select("id", "text"), names)
     return found.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
@@ -156,7 +156,7 @@ _BM25 = """tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}
 _LIKE = """lk AS (SELECT doc_id AS id, row_number() OVER (ORDER BY length(text), doc_id) AS rank FROM documents WHERE contains(lower(text), 'licensed under')
   QUALIFY row_number() OVER (ORDER BY length(text), doc_id) <= 100)"""
 _NEAR = """qv AS (SELECT vec_id AS id, label, [CAST(floor(least(greatest(CAST(x AS DOUBLE), -1.0), 1.0) * 127 + 0.5) AS INTEGER) for x in embedding] AS v FROM embeddings),
-  qs AS (SELECT label, min(id) AS query, arg_min(v, id) AS q FROM qv GROUP BY label),
+  qs AS (SELECT label, id AS query, v AS q FROM qv WHERE id % 20 = 0),
   nn AS (SELECT query, id, CAST(list_sum([v[i] * q[i] for i in range(1, 65)]) AS BIGINT) AS score FROM qv JOIN qs USING (label)),
   nr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM nn QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10)"""
 _FUSED = f"""{_BM25}, {_LIKE}, {_NEAR},
@@ -187,7 +187,7 @@ ORACLES = {
     "CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS snippet, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
     "redacted_documents": f"SELECT doc_id AS id, CASE WHEN length(p) > 500 THEN left(p, 500) || '...[TRUNCATED]' ELSE p END AS snippet FROM (SELECT doc_id, {_PLANT} AS p FROM documents)",
     "document_mentions": "WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS name FROM benchmark), "
-    "w AS (SELECT name FROM n WHERE length(name) >= 12), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS name FROM documents) "
+    "w AS (SELECT name FROM n WHERE length(name) >= 4), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS name FROM documents) "
     "SELECT name, count(*) AS n, min(doc_id) AS first FROM d JOIN w USING (name) GROUP BY name",
     "path_kinds": "WITH p(k, name, kind, language) AS (VALUES (0, 'src/a.ts', 'file', 'typescript'), (1, 'tests/b.py', 'test', 'python'), (2, 'x_test.go', 'test', 'go'), "
     "(3, 'docs/adr/001.md', 'decision', 'markdown'), (4, 'rfc-2.md', 'proposal', 'markdown'), (5, 'docs/prd/x.md', 'prd', 'markdown'), (6, 'requirements.md', 'requirement', 'markdown'), "

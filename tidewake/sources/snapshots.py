@@ -17,9 +17,9 @@ def write_run(spark: SparkSession, root: str, run: int, tables: dict[str, DataFr
 
     A run that fails before leaves folders that no reader sees; earlier runs
     are never touched, so nothing has to be rolled back. A run number is used
-    once.
+    once, by one writer: two that write the same number at a time aren't told apart.
     """
-    if run in [r.run for r in runs(spark, root).select("run").collect()]:
+    if not runs(spark, root).where(F.col("run") == run).isEmpty():
         raise ValueError(f"run {run} is already committed")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(_path(root, run, name))
@@ -39,8 +39,8 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_run(spark: SparkSession, root: str, table: str, run: int | None = None) -> DataFrame:
     """A table of a committed run, the latest by default, with ``index_run_id``. Other runs' files are not listed."""
-    known = [r.run for r in runs(spark, root).where(F.array_contains(F.split("tables", ","), table)).collect()]
-    chosen = max(known, default=None) if run is None else run
-    if chosen not in known:
+    known = runs(spark, root).where(F.array_contains(F.split("tables", ","), table))
+    chosen = (known if run is None else known.where(F.col("run") == run)).agg(F.max("run")).first()[0]
+    if chosen is None:
         raise ValueError(f"no committed run of {table}" if run is None else f"run {run} isn't committed")
     return spark.read.parquet(_path(root, chosen, table)).withColumn("index_run_id", F.lit(chosen).cast("long"))
