@@ -82,7 +82,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.affected(rows).select("seed", "path", F.col("depth").cast("long").alias("depth"), "confidence", "kind")
 
 
-_EDGES = (
+EDGES = (
     "edges AS (SELECT target_entity_id AS node, source_entity_id AS source, path, r.kind, r.confidence, r.id FROM relations r "
     "JOIN entities e ON e.id = source_entity_id QUALIFY row_number() OVER (PARTITION BY target_entity_id ORDER BY path, r.kind, r.id) <= 200)"
 )
@@ -226,7 +226,7 @@ QUERIES = {name: _cypher(name) for name in CYPHER} | {
     "trace_promotion": trace_promotion,
 }
 
-_BLAST = f"WITH RECURSIVE {GRAPH_SQL}, {_EDGES}, {_WALK}, {_AFFECTED} "
+_BLAST = f"WITH RECURSIVE {GRAPH_SQL}, {EDGES}, {_WALK}, {_AFFECTED} "
 ORACLES = {
     name: f"WITH RECURSIVE {GRAPH_SQL}, {_REACH} {sql}" if "reach" in sql else f"WITH {GRAPH_SQL} {sql}"
     for name, (_, _, sql) in CYPHER.items()

@@ -1,14 +1,13 @@
-"""Queries of health, telemetry and report comparison over the driver's tables, and their SQL."""
+"""Queries of health and telemetry over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions.confidence import rank
 from tidewake.operators import exports
 from tidewake.operators.delta import upsert
-from tidewake.plans.graph_views import entities, relations, table
+from tidewake.plans.graph_views import relations, table
 from tidewake.sources.scan import session_facts
 
 
@@ -28,13 +27,6 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.crossJoin(reads)
 
 
-def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer each order's price against the one before, by date and key."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf_dir, "orders").withColumn("before", F.lag("o_totalprice").over(by))
-    return rows.select("o_orderkey", F.round(F.col("o_totalprice") - F.col("before"), 4).alias("change"))
-
-
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers, of which some come anew with another balance."""
     old = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -42,13 +34,6 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(old, new, ["s_suppkey"])
 
 
-def impact_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations into each supplier by label of their number, and the best confidence."""
-    into = relations(spark, sf_dir, ("SUPPLIED_BY",)).groupBy("target_entity_id").agg(F.countDistinct("source_entity_id").alias("n"), F.max(rank(F.col("confidence"))).alias("best"))
-    all_ = entities(spark, sf_dir).where("kind = 'supplier'").join(into, F.col("id") == F.col("target_entity_id"), "left")
-    return all_.select("id", F.coalesce("n", F.lit(0)).alias("n"), exports.blast_label(F.coalesce("n", F.lit(0))).alias("label"), F.coalesce("best", F.lit(0)).cast("long").alias("best"))
-
-
 def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     return session_facts(table(spark, sf_dir, "conversations"), known)
@@ -59,18 +44,14 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.dot(relations(spark, sf_dir, ("PART_OF",)))
 
 
-QUERIES = {f.__name__: f for f in (coverage, telemetry, report_comparison, upsert_latest, impact_lanes, session_summaries, graph_dot)}
+QUERIES = {f.__name__: f for f in (coverage, telemetry, upsert_latest, session_summaries, graph_dot)}
 ORACLES = {
     "coverage": "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 2000) AS n_long, count(k.doc_id) AS n_labelled, count(DISTINCT source) AS n_sources "
     "FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) k USING (doc_id) GROUP BY lang",
     "telemetry": "SELECT * FROM (SELECT count(*) AS runs, count(DISTINCT user_id) AS users, round(sum(value), 2) AS value FROM events), "
     "(SELECT count(*) AS turns, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM conversations)",
-    "report_comparison": "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 4) AS change FROM orders",
     "upsert_latest": "WITH n AS (SELECT s_suppkey + 1 AS s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) "
     "UNION ALL SELECT s_suppkey, 0.0 FROM n",
-    "impact_lanes": "WITH c AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n, max(CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS best FROM lineitem GROUP BY l_suppkey) "
-    "SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR) AS id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'clear' WHEN n <= 3 THEN 'contained' WHEN n <= 12 THEN 'expanding' ELSE 'wide' END AS label, "
-    "CAST(coalesce(best, 0) AS BIGINT) AS best FROM supplier LEFT JOIN c ON l_suppkey = s_suppkey",
     "session_summaries": "SELECT conv_id, 'summary' AS kind, CAST(count(*) AS VARCHAR) || ' messages, ' || CAST(count(*) FILTER (WHERE role = 'tool') AS VARCHAR) || ' tool calls' AS value FROM conversations GROUP BY conv_id",
     "graph_dot": "SELECT 'digraph impact {' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}' AS text FROM (SELECT '  \"nation:' || CAST(n_nationkey AS VARCHAR) || '\" -> \"region:' || "
     "CAST(n_regionkey AS VARCHAR) || '\" [label=\"PART_OF\"];' AS l FROM nation)",
