@@ -79,8 +79,11 @@ def impact_order() -> list[Column]:
 
 def first_evidence(relations: DataFrame, evidence: DataFrame, most: int = 1) -> DataFrame:
     """Relations with their first ``most`` evidence rows (by id), those without kept with nulls."""
-    order = Window.partitionBy("relation_id").orderBy("id")
-    picked = evidence.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    if most == 1:  # a minimum is taken before the shuffle, a window's rows are not
+        picked = evidence.groupBy("relation_id").agg(F.min(F.struct("id", "file_path", "snippet")).alias("e")).select("relation_id", "e.*")
+    else:
+        order = Window.partitionBy("relation_id").orderBy("id")
+        picked = evidence.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
     return relations.join(
         picked.select("relation_id", F.col("id").alias("evidence_id"), "file_path", "snippet"),
         relations["id"] == F.col("relation_id"),
@@ -88,13 +91,13 @@ def first_evidence(relations: DataFrame, evidence: DataFrame, most: int = 1) ->
     ).drop("relation_id")
 
 
-def both_ends(relations: DataFrame) -> DataFrame:
-    """``(entity, other, id, kind, provenance, outgoing)``: a row for each end of a relation, one only for a loop."""
+def both_ends(relations: DataFrame, *more: str) -> DataFrame:
+    """``(entity, other, id, kind, provenance, outgoing)`` and columns ``more``: a row for each end of a relation, one only for a loop."""
     out = relations.select(
-        F.col("source_entity_id").alias("entity"), F.col("target_entity_id").alias("other"), "id", "kind", "provenance", F.lit(True).alias("outgoing")
+        F.col("source_entity_id").alias("entity"), F.col("target_entity_id").alias("other"), "id", "kind", "provenance", F.lit(True).alias("outgoing"), *more
     )
     into = relations.where("source_entity_id <> target_entity_id").select(
-        F.col("target_entity_id").alias("entity"), F.col("source_entity_id").alias("other"), "id", "kind", "provenance", F.lit(False).alias("outgoing")
+        F.col("target_entity_id").alias("entity"), F.col("source_entity_id").alias("other"), "id", "kind", "provenance", F.lit(False).alias("outgoing"), *more
     )
     return out.unionByName(into)
 
@@ -113,10 +116,12 @@ def neighbourhood(relations: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def explain(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per entity: relations in and out, evidence rows, and distinct neighbours."""
-    ends = both_ends(relations)
-    proof = evidence.groupBy("relation_id").agg(F.count("*").alias("n"))
-    counted = ends.join(proof, ends["id"] == proof["relation_id"], "left").groupBy("entity").agg(
+    """Per entity: relations in and out, evidence rows, and distinct neighbours.
+
+    Evidence is joined to relations, before each becomes two ends.
+    """
+    proof = evidence.groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("n"))
+    counted = both_ends(relations.join(proof, "id", "left"), "n").groupBy("entity").agg(
         F.count_if("outgoing").alias("n_out"),
         F.count_if(~F.col("outgoing")).alias("n_in"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_evidence"),
@@ -130,7 +135,8 @@ def explain(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> D
 
 def induced_subgraph(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relations both of whose ends are in ``nodes`` (id); of those alike in ends and kind, the most confident."""
-    source, target = (nodes.select(F.col("id").alias(c)) for c in ("source_entity_id", "target_entity_id"))
+    kept = if_small(stored(nodes.select("id").distinct()))
+    source, target = (kept.select(F.col("id").alias(c)) for c in ("source_entity_id", "target_entity_id"))
     inside = relations.join(source, "source_entity_id", "left_semi").join(target, "target_entity_id", "left_semi")
     best = F.max(F.struct(rank(F.col("confidence")).alias("r"), "confidence"))
     return inside.groupBy("source_entity_id", "target_entity_id", "kind").agg(best.alias("b")).select(

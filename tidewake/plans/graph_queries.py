@@ -110,10 +110,9 @@ def impact_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every relation with its first evidence row."""
     rows = traverse.first_evidence(relations(spark, sf_dir), evidence(spark, sf_dir))
-    return rows.groupBy("kind").agg(
-        F.count("*").alias("n"), F.count("evidence_id").alias("with_evidence"), F.min("evidence_id").alias("least"), F.max("snippet").alias("most")
-    )
+    return rows.select("id", "kind", "evidence_id", "snippet")
 
 
 _EVIDENCE = (
@@ -124,10 +123,8 @@ _EVIDENCE = (
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = traverse.neighbourhood(relations(spark, sf_dir), 5)
-    return rows.groupBy("entity", "outgoing").agg(
-        F.count("*").alias("n"), F.max("truncated").alias("truncated"), F.max("other").alias("last")
-    )
+    """The first five relations of every entity in each direction."""
+    return traverse.neighbourhood(relations(spark, sf_dir), 5)
 
 
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +234,9 @@ ORACLES = {
     "FROM top, (VALUES ('any', 0), ('none', 9), ('proven', 3), ('inferred', 2), ('heuristic', 1)) AS v(level, least)",
     "impact_page": _BLAST + f"SELECT * FROM affected ORDER BY seed, {RANK_SQL} DESC, depth, path LIMIT 50 OFFSET 100",
     "evidence_pick": f"WITH {GRAPH_SQL}, {_EVIDENCE}, f AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY id) = 1) "
-    "SELECT kind, count(*) AS n, count(f.id) AS with_evidence, min(f.id) AS least, max(snippet) AS most FROM relations r LEFT JOIN f ON relation_id = r.id GROUP BY kind",
+    "SELECT r.id, kind, f.id AS evidence_id, snippet FROM relations r LEFT JOIN f ON relation_id = r.id",
     "neighbourhood": f"WITH {GRAPH_SQL}, {_ENDS}, k AS (SELECT *, row_number() OVER (PARTITION BY entity, outgoing ORDER BY kind, other, id) AS rn, "
-    "count(*) OVER (PARTITION BY entity, outgoing) AS total FROM ends) SELECT entity, outgoing, count(*) AS n, max(total) > 5 AS truncated, max(other) AS last "
-    "FROM k WHERE rn <= 5 GROUP BY entity, outgoing",
+    "count(*) OVER (PARTITION BY entity, outgoing) AS total FROM ends) SELECT entity, outgoing, kind, other, id, total > 5 AS truncated FROM k WHERE rn <= 5",
     "explain_entities": f"WITH {GRAPH_SQL}, {_EVIDENCE}, {_ENDS}, p AS (SELECT relation_id, count(*) AS n FROM evidence GROUP BY relation_id), "
     "c AS (SELECT entity, count(*) FILTER (WHERE outgoing) AS n_out, count(*) FILTER (WHERE NOT outgoing) AS n_in, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_evidence, "
     "count(DISTINCT other) AS n_neighbours FROM ends LEFT JOIN p ON relation_id = id GROUP BY entity) "

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.plans.cypher import Query, parse
-from tidewake.session import stored
+from tidewake.session import if_small, stored
 
 
 def like_pattern(value: str) -> str:
@@ -19,16 +19,17 @@ def reach(relations: DataFrame, least: int, most: int, starts: DataFrame | None
 
     A level is a join with the distinct edges and is made distinct before the
     next, so cycles cost a row per depth at most. ``starts`` (id) bounds where
-    paths begin. Levels are stored, so that a level's plan doesn't hold those
-    before it.
+    paths begin. Edges and levels are stored, so that edges are made distinct
+    once and a level's plan doesn't hold those before it.
     """
     edges = relations.select(F.col("source_entity_id").alias("start"), F.col("target_entity_id").alias("node")).distinct()
+    edges = stored(edges) if most > 1 else edges
     first = edges.join(starts.select(F.col("id").alias("start")), "start", "left_semi") if starts is not None else edges
     steps = edges.select(F.col("start").alias("at"), F.col("node").alias("to"))
     level, out = first, None
     for depth in range(1, most + 1):
         if depth > 1:
-            level = level.join(steps, level["node"] == steps["at"]).select("start", F.col("to").alias("node")).distinct()
+            level = if_small(level).join(steps, level["node"] == steps["at"]).select("start", F.col("to").alias("node")).distinct()
         if depth < most:
             level = stored(level)
             if level.isEmpty():
