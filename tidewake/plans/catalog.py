@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.plans import fact_queries, graph_queries, link_queries, ops_queries, report_queries, search_queries
+from tidewake.plans import fact_queries, graph_queries, link_queries, ops_queries, report_queries, search_queries, stream_queries
 
-_MODULES = (graph_queries, report_queries, link_queries, fact_queries, search_queries, ops_queries)
+_MODULES = (graph_queries, report_queries, link_queries, fact_queries, search_queries, stream_queries, ops_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

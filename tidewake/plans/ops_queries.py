@@ -35,8 +35,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns name the document of the same number, if there is one."""
     known = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
-    return session_facts(table(spark, sf_dir, "conversations"), known)
+    named = F.concat_ws(" ", "text", F.concat(F.lit("doc/"), F.col("conv_id").cast("string"), F.lit(".md")))
+    return session_facts(table(spark, sf_dir, "conversations").withColumn("text", named), known)
 
 
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,8 @@ ORACLES = {
     "(SELECT count(*) AS turns, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM conversations)",
     "upsert_latest": "WITH n AS (SELECT s_suppkey + 1 AS s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) "
     "UNION ALL SELECT s_suppkey, 0.0 FROM n",
-    "session_summaries": "SELECT conv_id, 'summary' AS kind, CAST(count(*) AS VARCHAR) || ' messages, ' || CAST(count(*) FILTER (WHERE role = 'tool') AS VARCHAR) || ' tool calls' AS value FROM conversations GROUP BY conv_id",
+    "session_summaries": "SELECT conv_id, 'summary' AS kind, CAST(count(*) AS VARCHAR) || ' messages, ' || CAST(count(*) FILTER (WHERE role = 'tool') AS VARCHAR) || ' tool calls' AS value FROM conversations GROUP BY conv_id "
+    "UNION ALL SELECT DISTINCT conv_id, 'file', 'doc/' || CAST(doc_id AS VARCHAR) || '.md' FROM conversations JOIN documents ON doc_id = conv_id",
     "graph_dot": "SELECT 'digraph impact {' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}' AS text FROM (SELECT '  \"nation:' || CAST(n_nationkey AS VARCHAR) || '\" -> \"region:' || "
     "CAST(n_regionkey AS VARCHAR) || '\" [label=\"PART_OF\"];' AS l FROM nation)",
 }
