@@ -55,6 +55,19 @@ def test_search_terms_and_fusion(spark):
     assert (m.recall_5, m.precision_5, m.mrr, m.ndcg_10) == (1.0, 0.4, 1.0, 0.919721)
 
 
+def test_fusion_keeps_every_row_of_its_streams(spark):
+    n = 2 * se.STREAM_ROWS + 300  # more than STREAM_ROWS of each stream
+    long = spark.range(n).selectExpr("id", "CAST(id % 10 + 1 AS INT) AS rank")
+    other = spark.createDataFrame([(n - 1, 1), (n + 5, 2)], "id long, rank int")
+    got = se.fuse({"long": long, "other": other}).orderBy("rank").collect()
+    score = {i: round(1 / (61 + i % 10), 8) for i in range(n)} | {n + 5: round(1 / 62, 8)}
+    score[n - 1] = round(1 / (61 + (n - 1) % 10) + 1 / 61, 8)
+    want = sorted(score, key=lambda i: (-score[i], i))
+    assert [(r.id, r["rank"], r.score) for r in got] == [(i, k, score[i]) for k, i in enumerate(want, start=1)]
+    empty = se.fuse({"a": long.limit(0), "b": long.limit(0)})
+    assert empty.count() == 0
+
+
 def test_delta_modes(spark):
     files = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
     before, same, edit, more = files([("a", "1"), ("b", "2")]), files([("a", "1"), ("b", "2")]), files([("a", "1"), ("b", "3")]), files([("a", "1"), ("b", "2"), ("c", "4")])

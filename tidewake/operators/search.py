@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.text import tokens
+from tidewake.session import stored
 
 #: BM25's parameters and least idf, the rank offset of fusion, rows of a stream, terms of a query.
 K1, B, LEAST_IDF, RRF, STREAM_ROWS, TERMS = 1.2, 0.75, 1e-6, 60, 500, 8
@@ -56,8 +57,24 @@ def ranked(hits: DataFrame, limit: int = STREAM_ROWS) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def ranked_whole(hits: DataFrame) -> DataFrame:
+    """All rows of ``hits`` (id, score, more) with their ranks; ties go to the smaller id.
+
+    Rows are dealt out by ranges of that order and written, and a range's ranks
+    start after the rows of the ranges before it: no task gathers all of them.
+    """
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("score"), F.asc("id")]
+    rows = stored(hits.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    counts = rows.groupBy("range").agg(F.count("*").alias("n"))  # one row per range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("range", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return rows.join(F.broadcast(starts), "range").withColumn("rank", F.col("before") + inside).drop("range", "before")
+
+
 def fuse(streams: dict[str, DataFrame]) -> DataFrame:
-    """``(id, score, rank, reasons)``: reciprocal ranks of all streams (id, rank) added, to eight decimals."""
+    """``(id, score, rank, reasons)``: reciprocal ranks of all streams (id, rank) added, to eight decimals; every id of a stream has a row."""
     rows = None
     for name, s in streams.items():
         one = s.select("id", F.lit(name).alias("stream"), F.col("rank").alias("r"))
@@ -66,7 +83,7 @@ def fuse(streams: dict[str, DataFrame]) -> DataFrame:
     added = best.groupBy("id").agg(
         F.round(F.sum(1 / (F.lit(RRF) + F.col("r"))), 8).alias("score"), F.concat_ws(",", F.sort_array(F.collect_set("stream"))).alias("reasons")
     )
-    return ranked(added, STREAM_ROWS * len(streams))
+    return ranked_whole(added)
 
 
 def diversify(results: DataFrame, bucket: str, k: int) -> DataFrame:
