@@ -1,4 +1,7 @@
+import duckdb
+
 from tidewake.operators import streams as st
+from tidewake.plans import search_queries as sq
 
 ENTITIES = "id string, kind string, path string, display_name string, symbol string"
 RELATIONS = "id string, source_entity_id string, target_entity_id string, kind string, confidence string, provenance string"
@@ -35,3 +38,19 @@ def test_scores(spark):
     assert whole.first()["score"] == 1.0
     metrics = spark.createDataFrame([("q", 0.5), ("r", 1.0)], "query string, mrr double")
     assert st.mean_metrics(metrics).first()["mrr"] == 0.75 and st.mean_metrics(metrics.limit(0)).first()["mrr"] == 1.0
+
+
+def test_diversified_search_reaches_sources_beyond_1500_results(spark, tmp_path):
+    n = 40_000  # with its own vector for a neighbour every twentieth row is found, 2000 of them
+    ids = spark.range(n)
+    text = st.F.expr("CASE WHEN id < 100 THEN concat('licensed under the license ', id) ELSE concat('text ', id) END")
+    late = st.F.expr("CASE WHEN id >= 38000 THEN 'late' WHEN id % 40 = 0 THEN 'a' ELSE 'b' END")
+    ids.select(st.F.col("id").alias("doc_id"), text.alias("text"), late.alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    alone = st.F.expr("transform(sequence(0, 63), i -> CAST(IF(i = id % 64, 1.0, 0.0) AS FLOAT))")
+    ids.where("id % 20 = 0").select(st.F.col("id").alias("vec_id"), st.F.col("id").cast("int").alias("label"), alone.alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sq.diversified_search(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT id, source, place, total FROM ({sq.ORACLES['diversified_search']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.source for r in got} == {"a", "b", "late"}

@@ -89,11 +89,13 @@ def fuse(streams: dict[str, DataFrame]) -> DataFrame:
 def diversify(results: DataFrame, bucket: str, k: int) -> DataFrame:
     """The first ``k`` of (id, rank, bucket) taken in turn from the buckets, which come in order of their best rank.
 
-    Fewer than three results, or one bucket only, stay in their own order.
+    Fewer than three results, or one bucket only, stay in their own order. No
+    bucket gives more than ``k``, so its later rows go before they are shuffled.
     """
     inside = Window.partitionBy(bucket).orderBy("rank")
     whole = Window.partitionBy(bucket)
-    rows = results.withColumns({"turn": F.row_number().over(inside), "first": F.min("rank").over(whole)})
+    rows = results.withColumn("turn", F.row_number().over(inside)).where(F.col("turn") <= k)
+    rows = rows.withColumn("first", F.min("rank").over(whole))
     if k < 3:
         rows = rows.withColumn("turn", F.lit(1))
     order = [F.col("turn"), F.col("first"), F.col("rank")]

@@ -67,9 +67,9 @@ def hybrid_search(spark, sf_dir):
 
 def diversified_search(spark, sf_dir):
     """The fused results of documents, taken in turn from their sources, within a byte budget."""
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("id", "source", F.octet_length(tx.snippet(F.col("text"))).alias("bytes"))  # no text is shuffled
     fused = se.fuse(_streams(spark, sf_dir)).join(docs, "id")
-    out = se.within_budget(se.diversify(fused.withColumn("bytes", F.octet_length(tx.snippet(F.col("text")))), "source", 20), "bytes", 3000)
+    out = se.within_budget(se.diversify(fused, "source", 20), "bytes", 3000)
     return out.select("id", "source", F.col("place").cast("long").alias("place"), F.col("total").cast("long").alias("total"))
 
 
