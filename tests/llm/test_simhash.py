@@ -141,6 +141,26 @@ def test_near_copies_of_every_kind_go_as_by_brute_force(spark, kind):
     assert kept == {2 * i for i in range(150)} | {2 * i + 1 for i, t in enumerate(texts) if not t[2]}
 
 
+def test_the_pipeline_links_by_simhash_and_checks(spark, monkeypatch):
+    import corpus_pipeline
+
+    nothing = spark.createDataFrame([], "a long, b long, node long, component long")
+    monkeypatch.setattr(sh, "near_candidates", lambda *a, **b: nothing)  # no MinHash bands
+    rng = np.random.default_rng(8)
+    words = [f"v{k}" for k in range(4000)]
+    rows, kept = [], set()
+    for g in range(40):
+        w = [str(x) for x in rng.choice(words, 300, replace=False)]
+        copy = list(w)
+        for p in (20, 150, 280):
+            copy[p] = f"edit{p}"
+        turned = [x for k in range(0, 300, 3) for x in reversed(w[k : k + 3])]  # the same words: no bit differs, but no shingle is shared
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(copy)), (10 * g + 2, " ".join(turned))]
+        kept |= {10 * g, 10 * g + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+
+
 def test_blocks_find_what_the_pivot_misses():
     import pandas as pd
 
